@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,3 +52,18 @@ def _forget_later(spark: SparkSession, path: str) -> None:
 def partitions(spark: SparkSession, total_bytes: int = 0, bytes_each: int = 16 << 20) -> int:
     """Partitions for an exchange: the session's setting, or more where total_bytes asks for it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // bytes_each))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python where they wouldn't find it by PYTHONPATH or working folder."""
+    root = Path(__file__).resolve().parents[2]
+    named = {str(Path(p or ".").resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)}
+    app = spark.sparkContext.applicationId
+    if str(root) in named or Path.cwd() == root or app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    at = Path(tempfile.mkdtemp(prefix="tidelog-")) / "tidelog.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in (root / "tidelog").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(at))

@@ -64,12 +64,12 @@ def string_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], raw[offs[0] : offs[-1]]
 
 
-def chunks(offs: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of documents of at most limit bytes together, one document at least."""
+def chunks(offs: np.ndarray, limit: int = 2 << 20, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs of at most `most` documents and of at most limit bytes together, one document at least."""
     lo, n = 0, len(offs) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + most)
         yield lo, hi
         lo = hi
 
