@@ -30,7 +30,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "number": r"(?<![0-9A-Za-z])[0-9][0-9\x20().-]{5,}[0-9](?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+",
 }
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+", "number": "", "secret": ""}
@@ -89,6 +89,13 @@ def _votes(kind: Column, match: Column, before: Column, valid: Column) -> dict[s
     }
 
 
+def _item(kind: str, as_type: str):
+    """One match with the gap before it. (A lambda with a second parameter would be given the place in the array.)"""
+    return lambda x: F.struct(
+        F.lit(kind).alias("kind"), x["i"].alias("nth"), F.length(x["g"]).cast("bigint").alias("gap"), F.length(x["m"]).cast("bigint").alias("size"), x["m"].alias("match"), F.lower(F.right(x["g"], F.lit(CONTEXT))).alias("before")
+    ).cast(as_type)
+
+
 def candidates(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document (kind null) and one for each match, with places, validity, votes, size.
 
@@ -109,9 +116,7 @@ def candidates(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_
         gaps = F.when(F.size(k) > 0, F.split("_text", PATTERNS[k], -1)).otherwise(none)
         nth = F.sequence(F.lit(1), F.greatest(F.size(k), F.lit(1)))
         zipped = F.arrays_zip(F.col(k).alias("m"), F.slice(gaps, 1, F.size(k)).alias("g"), F.slice(nth, 1, F.size(k)).alias("i"))
-        one = F.transform(
-            zipped, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x["i"].alias("nth"), F.length(x["g"]).cast("bigint").alias("gap"), F.length(x["m"]).cast("bigint").alias("size"), x["m"].alias("match"), F.lower(F.right(x["g"], F.lit(CONTEXT))).alias("before")).cast(item)
-        )
+        one = F.transform(zipped, _item(k, item))
         each.append(F.when(F.size(k) > 0, one).otherwise(F.array().cast(f"array<{item}>")))
     out = rows.select("_row", "doc_id", "_carry", F.explode(F.concat(*each)).alias("x")).select("_row", "doc_id", F.when(F.col("x.kind").isNull(), F.col("_carry")).alias("_carry"), "x.*")
     dealt = out.repartition(partitions(docs.sparkSession), "_row")
