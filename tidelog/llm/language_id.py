@@ -37,8 +37,9 @@ class Model:
 
 
 def counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, count of each hashed 1-, 2- and 3-gram of bytes) by chunk; whole texts, lower-cased."""
-    offs, data = X.string_view(pc.utf8_lower(column))
+    """(first row, count of each hashed 1-, 2- and 3-gram of bytes) by chunk; whole texts, lower-cased, with
+    a blank for each run of other characters than letters, so that markup and junk say nothing."""
+    offs, data = X.string_view(pc.replace_substring_regex(pc.utf8_lower(column), r"\PL+", " "))
     for lo, hi in X.chunks(offs, 1 << 20, 256):
         part = data[offs[lo] : offs[hi]].astype(np.uint32)
         n = hi - lo
