@@ -20,7 +20,7 @@ from tidelog.llm.language_id import held_out
 
 #: Labelled documents to learn from for each class, about; more are sampled by a hash of the id.
 PER_CLASS = 1200
-DICTIONARY_BYTES, BLOCK, LEVEL = 112_640, 1024, 3
+DICTIONARY_BYTES, BLOCK, LEVEL = 112_640, 512, 3
 THRESHOLD = 0.7
 
 
@@ -36,11 +36,11 @@ def _blocks(text: bytes) -> list[bytes]:
 
 
 class Evidence:
-    """Normalised compressed-size difference of a text under the two dictionaries, over the whole text."""
+    """Bytes that the good dictionary saves against the bad one for each byte of the whole text."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.sides = [
-            zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
             for d in (good, bad)
         ]
         for s in self.sides:
@@ -51,7 +51,7 @@ class Evidence:
         if not data:
             return 0.0
         good, bad = (sum(len(side.compress(b)) for b in _blocks(data)) for side in self.sides)
-        return (bad - good) / max(bad, good)
+        return (bad - good) / len(data)
 
 
 def _dictionary(texts: list[str]) -> bytes:
