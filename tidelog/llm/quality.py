@@ -67,7 +67,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Newton's method, a little regularised, classes as frequent as they are."""
     design = np.stack([x, np.ones_like(x)], 1)
     w = np.zeros(2)
-    penalty = np.diag([1e-3, 1e-6])
+    penalty = np.diag([1e-6, 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + penalty, design.T @ (y - p) - penalty @ w)
