@@ -51,7 +51,7 @@ def _anchors(slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offs, data = X.string_view(b.column(0))
-            for lo, hi in X.chunks(offs, 8 << 20):
+            for lo, hi in X.chunks(offs, 4 << 20):
                 words, word_offs = _words(b.column(0), lo, hi, offs, data)
                 at, counts = X.window_starts(word_offs, BLOCK)
                 long = np.repeat(np.diff(word_offs) >= WINDOW, counts)
@@ -129,7 +129,7 @@ def _probe(index, slices: int, bits: int, parts: int):
             offs, data = X.string_view(b.column(2))
             ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             keys = b.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in X.chunks(offs, 4 << 20):
+            for lo, hi in X.chunks(offs, 2 << 20):
                 words, word_offs = _words(b.column(2), lo, hi, offs, data)
                 at, counts = X.window_starts(word_offs, BLOCK)
                 inside = at - np.repeat(word_offs[:-1], counts)
