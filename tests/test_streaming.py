@@ -20,6 +20,16 @@ def setup(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+@pytest.fixture
+def wait_for(spark):
+    def wait(table, condition, n):
+        end = time.time() + 60
+        while time.time() < end and spark.table(table).where(condition).count() < n:
+            time.sleep(0.5)
+
+    return wait
+
+
 def feed(b, spark, items):
     b.store.append("t", spark.createDataFrame([(p, bytearray(x.encode()), i) for i, (p, x) in enumerate(items)], "partition int, payload binary, n int"), ["n"])
 
@@ -61,28 +71,26 @@ def test_append_stream_equals_a_batch_append(spark, tmp_path):
     assert sorted(bytes(r.payload).decode() for r in b.store.log("t").collect()) == sorted(f"msg-{i}" for i in range(40))
 
 
-def test_streaming_coordinator_equals_the_fold(spark, tmp_path):
+def test_streaming_coordinator_equals_the_fold(spark, tmp_path, wait_for):
     events = [("a", 1, None, 1, "join", None), ("a", 2, None, 2, "join", None), ("a", 3, None, 1, "heartbeat", None), ("b", 4, None, 9, "join", None), ("a", 5, None, 2, "leave", None), ("a", 6, None, 1, "commit", 1), ("b", 7, None, 8, "heartbeat", None)]
     batch = spark.createDataFrame([(*e[:2], None, *e[3:]) for e in events], CONTROL).withColumn("ts", F.timestamp_seconds(F.lit(0)).cast("timestamp_ntz"))
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
     want = {tuple(r) for r in membership(batch, 4, 10_000).collect()}
     stream = membership_stream(spark.readStream.schema(CONTROL).parquet(str(tmp_path / "in")), 4, 60_000)
-    q = stream.writeStream.format("memory").queryName("members").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q = stream.writeStream.format("memory").queryName("members").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(processingTime="1 second").start()
     try:
-        q.processAllAvailable()
+        wait_for("members", "op <> 'sweep'", len(events))  # timers keep such a query busy, so it is never at rest
         assert {tuple(r) for r in spark.table("members").where("op <> 'sweep'").collect()} == want
     finally:
         q.stop()
 
 
-def test_streaming_coordinator_sweeps(spark, tmp_path):
+def test_streaming_coordinator_sweeps(spark, tmp_path, wait_for):
     spark.createDataFrame([("a", 1, None, 1, "join", None), ("a", 2, None, 2, "join", None)], CONTROL).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = membership_stream(spark.readStream.schema(CONTROL).parquet(str(tmp_path / "in")), 4, 300)
     q = stream.writeStream.format("memory").queryName("swept").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(processingTime="200 milliseconds").start()
     try:
-        end = time.time() + 60
-        while time.time() < end and spark.table("swept").where("op = 'sweep'").count() < 2:
-            time.sleep(0.5)
+        wait_for("swept", "op = 'sweep'", 2)
         assert sorted(r.generation for r in spark.table("swept").where("op = 'sweep'").collect()) == [3, 4]
     finally:
         q.stop()

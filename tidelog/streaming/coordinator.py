@@ -77,7 +77,8 @@ class GroupProcessor(StatefulProcessor):
         dead = c.sweep(now)
         g = c.groups.get(name)
         self._keep(c, name, now)
-        yield _frame([(name, None, "sweep", m, g.generation, 0, None, 1, "") for _, m in dead])
+        last = g.generation if g else 0
+        yield _frame([(name, None, "sweep", m, last - len(dead) + i, 0, None, 1, "") for i, (_, m) in enumerate(dead, 1)])
 
     def close(self) -> None:
         pass
