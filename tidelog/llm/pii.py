@@ -149,7 +149,7 @@ def learn(patterns: list[tuple[str, int, tuple[int, ...], int]], rounds: int = 4
         prior = min(0.99, max(0.01, sum(p * n for p, (*_, n) in zip(soft, patterns, strict=True)) / total))
         table = {}
         for j, name in enumerate(LABELERS):
-            sums = [[0.1] * 3, [0.1] * 3]
+            sums = [[4.0, 2.0, 1.0], [1.0, 2.0, 4.0]]  # labelers are thought better than chance until counts say otherwise
             for p, (_, _, v, n) in zip(soft, patterns, strict=True):
                 sums[0][v[j] + 1] += (1 - p) * n
                 sums[1][v[j] + 1] += p * n
