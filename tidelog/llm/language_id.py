@@ -21,7 +21,8 @@ from tidelog.llm import textops as X
 DIMS = 4096
 #: Documents to learn from for each language, about; a larger corpus is sampled by a hash of the id.
 PER_LANGUAGE = 800
-MOST_LANGUAGES = 200
+#: And about as many at most for all languages together, of which only the most frequent ones are learned.
+MOST_DOCUMENTS, MOST_LANGUAGES = 4000, 200
 CENTROIDS = 3
 SHARPNESS = 25.0
 UNKNOWN = "und"
@@ -90,6 +91,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return None
+    per_language = min(per_language, MOST_DOCUMENTS / len(sizes))
     share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.lit(False)
     for name, size in sizes.items():

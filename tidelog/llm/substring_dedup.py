@@ -256,3 +256,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     right = found.select("part", "ids", "keys", "counts", "pos").groupBy("part")
     out = left.cogroup(right).applyInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out
+
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM starts),
+earliest AS (SELECT g, min(doc_id) AS first_doc FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS pos FROM win JOIN earliest USING (g) WHERE first_doc < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT doc_id, count(*) AS n, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (g.pos IS NULL) AS kept FROM words LEFT JOIN gone g USING (doc_id, pos) GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
