@@ -351,7 +351,7 @@ def feed_snapshot(spark, sf_dir):
     return snap.select("produced", offsets.cast("bigint").alias("offsets"), F.array_max("recent")["event_id"].alias("latest"), F.size("recent").cast("bigint").alias("recent"))
 
 
-@query("""SELECT l_orderkey, CASE WHEN l_partkey < 1024 THEN l_partkey || ' B' WHEN l_partkey < 1048576 THEN format('{:.1f} KB', l_partkey / 1024) ELSE 'large' END AS size,
+@query("""SELECT l_orderkey, CASE WHEN l_partkey < 1024 THEN l_partkey || ' B' WHEN l_partkey < 1048576 THEN format('{:.1f} KB', round(l_partkey / 1024, 1)) ELSE 'large' END AS size,
 CASE WHEN l_orderkey >= 3600 THEN (l_orderkey // 3600) || 'h ' || (l_orderkey // 60 % 60) || 'm' WHEN l_orderkey >= 60 THEN (l_orderkey // 60) || 'm ' || (l_orderkey % 60) || 's' ELSE l_orderkey || 's' END AS up FROM lineitem""")
 def display_formats(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", A.human_bytes(F.col("l_partkey")).alias("size"), A.uptime(F.col("l_orderkey")).alias("up"))
