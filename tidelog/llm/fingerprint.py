@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import textops as X
-from tidelog.llm.scratch import materialise, partitions
+from tidelog.llm.scratch import materialise, modest_batches, partitions
 
 BUCKETS = 256
 #: The mean difference of two unrelated digests: 1.625 for each bucket.
@@ -114,6 +114,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    modest_batches(docs.sparkSession)
     order = F.col("doc_id").desc_nulls_last()
     dealt = text.repartitionByRange(partitions(spark), order).sortWithinPartitions(order, "text")
     made = materialise(dealt.mapInArrow(_neighbours, COLUMNS + ", kind int, part int, text string"), "fingerprints")

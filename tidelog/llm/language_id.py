@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textops as X
+from tidelog.llm.scratch import modest_batches
 
 DIMS = 4096
 #: Documents to learn from for each language, about; a larger corpus is sampled by a hash of the id.
@@ -138,6 +139,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     lang_pred is else always a learned language: rejected says that the text is farther from all centroids
     than any the model knows. A null id isn't held out. Other columns are not read.
     """
+    modest_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +156,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 def drop_rejected(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs, with the same columns, without the rows whose text is rejected."""
+    modest_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import textops as X
 from tidelog.llm.components import connected_components
-from tidelog.llm.scratch import materialise, partitions
+from tidelog.llm.scratch import materialise, modest_batches, partitions
 
 K, MATCH, BLOCK = 32, 14, 1024
 _MASKS = X.fmix(np.arange(101, 101 + K, dtype=np.uint64))
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     to nothing, has a null component_id, and is kept. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
+    modest_batches(docs.sparkSession)
     n = partitions(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(text.mapInArrow(_sign(shingle), SIGNED), "signed")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import textops as X
-from tidelog.llm.scratch import materialise, partitions
+from tidelog.llm.scratch import materialise, modest_batches, partitions
 
 CAPACITY = 2048
 END_ID = 0
@@ -261,6 +261,7 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, with_ids: b
     Other columns are not read. with_ids=False leaves ids null.
     """
     spark = docs.sparkSession
+    modest_batches(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = materialise(text.mapInArrow(_pieces(vocabulary, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>"), "pieces")

@@ -54,6 +54,13 @@ def partitions(spark: SparkSession, total_bytes: int = 0, bytes_each: int = 16 <
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // bytes_each))
 
 
+def modest_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of whole texts: fewer rows than Spark's default of 10,000, unless the session says how many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors' Python where they wouldn't find it by PYTHONPATH or working folder."""
     root = Path(__file__).resolve().parents[2]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textops as X
-from tidelog.llm.scratch import materialise, partitions
+from tidelog.llm.scratch import materialise, modest_batches, partitions
 
 WINDOW, BLOCK = 13, 7
 #: Index size: bits for each block, most bits in all (256 MB), bits of one slice, and bits set for a block.
@@ -238,6 +238,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Other columns are not read, whatever their names. with_text=False leaves kept_text null.
     """
     spark = docs.sparkSession
+    modest_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark, total)
