@@ -11,6 +11,7 @@ takes a run of the pieces of its length, by rank, and a join on length and rank
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,8 +61,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.known: dict[int, int] = {}
-        self.flat: list[int] = []
-        self.at: list[int] = [0]
+        self.flat, self.at = array("I"), array("q", [0])
 
     def _classify(self, points: np.ndarray) -> np.ndarray:
         got = self.classes[points]
@@ -134,12 +134,12 @@ class Encoder:
                 slots[i] = self.known[int(names[i])] = len(self.at) - 1
                 self.flat.extend(ids)
                 self.at.append(len(self.flat))
-        at = np.array(self.at, np.int64)
+        at = np.array(self.at)
         slots = np.array(slots)
         lo, size = at[slots][which], (at[slots + 1] - at[slots])[which]
         ends_out = np.cumsum(size)
         gather = np.arange(int(ends_out[-1])) + np.repeat(lo - ends_out + size, size)
-        ids = np.array(self.flat, np.uint32)[gather]
+        ids = np.frombuffer(self.flat, np.uint32)[gather]
         by_doc = np.concatenate([[0], ends_out])[np.searchsorted(starts, doc_at)]
         return ids, np.diff(by_doc)
 
