@@ -51,11 +51,21 @@ def decode_header(payload_hex: Column) -> dict[str, Column]:
     return {"producer": field(0), "seq": field(1), "sent_ns": field(2)}
 
 
+def running_total(rows: DataFrame, order: str, value: str, block: int = 4096) -> DataFrame:
+    """Adds total: the sum of value up to each row, by a whole-number order. Blocks of the order are summed up on
+    their own, so that only one row for each block meets all others in one task."""
+    own = F.floor(F.col(order) / block)
+    along = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("_block", own)
+    sums = marked.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.join(sums.select("_block", before.alias("_before")), "_block").withColumn("total", F.col("_before") + F.sum(value).over(along)).drop("_block", "_before")
+
+
 def tick_totals(rows: DataFrame, tick: str, partition: str) -> DataFrame:
     """Per tick: new records, the running total, and the partitions they came to."""
     per = rows.groupBy(tick).agg(F.count("*").alias("new"), F.array_join(F.array_sort(F.collect_set(partition)), ",").alias("partitions"))
-    along = Window.orderBy(tick).rowsBetween(Window.unboundedPreceding, 0)  # a row for each tick
-    return per.withColumn("total", F.sum("new").over(along))
+    return running_total(per, tick, "new")
 
 
 def consumed_frontier(rows: DataFrame) -> DataFrame:
@@ -63,9 +73,9 @@ def consumed_frontier(rows: DataFrame) -> DataFrame:
 
 
 def sticky_cap(samples: DataFrame, order: str, size: str, cap: int) -> DataFrame:
-    """Paused from the first sample at or above the cap on, for good. samples: a row for each check."""
-    along = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return samples.withColumn("paused", F.max((F.col(size) >= cap).cast("int")).over(along) == 1)
+    """Paused from the first sample at or above the cap on, for good: one minimum decides for all samples."""
+    first = samples.where(F.col(size) >= cap).agg(F.min(order).alias("_first"))
+    return samples.join(F.broadcast(first)).withColumn("paused", F.coalesce(F.col(order) >= F.col("_first"), F.lit(False))).drop("_first")  # one row
 
 
 def feed_snapshot(log: DataFrame, ring: DataFrame) -> DataFrame:
