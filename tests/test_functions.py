@@ -151,3 +151,43 @@ def test_report_round_trip(tmp_path):
         report.splice("no marks", section)
     with pytest.raises(RuntimeError):
         report.provenance("/")
+
+
+def test_running_total_by_blocks(spark):
+    from tidelog.operators import analytics as A
+
+    rows = spark.range(100).select(F.col("id").alias("tick"), (F.col("id") % 7).alias("new")).where("tick % 5 <> 0")
+    got = {r.tick: r.total for r in A.running_total(rows, "tick", "new", block=8).collect()}
+    total, want = 0, {}
+    for t in (t for t in range(100) if t % 5):
+        total += t % 7
+        want[t] = total
+    assert got == want
+    assert A.running_total(rows.where("false"), "tick", "new").count() == 0
+
+
+def test_audits_of_empty_and_unacknowledged_logs(spark):
+    from tidelog.operators import append, audit
+
+    log = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c")], "partition int, offset bigint, payload string")
+    manifest = spark.createDataFrame([(0, 1), (1, 1), (2, 0)], "partition int, next_offset bigint")
+    assert audit.damage(log, manifest).count() == 0  # what lies past the frontier doesn't count
+    assert [(r.partition, r.problem) for r in audit.damage(log.where("partition = 0"), manifest).collect()] == [(1, "missing")]
+    assert audit.damage(log.where("false"), manifest.where("partition = 2")).count() == 0
+    assert [tuple(r) for r in append.byte_frontier(log).orderBy("partition").collect()] == [(0, 18, 2), (1, 9, 1)]
+
+
+def test_assignment_of_more_members_than_partitions(spark):
+    from tidelog.operators import group
+
+    members = spark.createDataFrame([("g", m) for m in ("m1", "m2", "m10")], "grp string, member string")
+    assert sorted((r.member, r.partition) for r in group.range_assignment(members, ["grp"], 2).collect()) == [("m1", 0), ("m10", 1)]
+    assert sorted((r.member, r.partition) for r in group.range_assignment(members, ["grp"], 5).collect()) == [("m1", 0), ("m1", 1), ("m10", 2), ("m10", 3), ("m2", 4)]
+
+
+def test_liveness_is_strict(spark):
+    from tidelog.operators import group
+
+    beats = spark.sql("SELECT 'g' AS grp, 'm' AS member, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, s) AS ts FROM VALUES (0), (2), (5) AS t(s)")
+    got = group.sessions(beats, "2 SECONDS").orderBy("session").collect()
+    assert [(r.first_beat.second, r.last_beat.second, r.dead_at.second) for r in got] == [(0, 2, 4), (5, 5, 7)]
