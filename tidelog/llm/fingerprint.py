@@ -91,6 +91,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = (i, text, own)
         if rows:
             yield batch(rows, DONE, [None] * len(rows))
+        X.release()
     if before is not None:
         yield batch([(before[0], None, None, before[2], None, None, None)], TAIL, [before[1]])
 

@@ -58,6 +58,7 @@ def counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             inside = a == e
             out += np.bincount(a[inside] + gram[inside], minlength=n * DIMS)
         yield lo, out.reshape(n, DIMS)
+    X.release()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ temporaries stay within a few tens of MB; a document longer than a chunk is a ch
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ _LOWER[65:91] += 32
 _BYTE_CODE = np.random.default_rng(20240117).integers(1, 2**63, 65536, dtype=np.int64).view(U64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def fmix(x: np.ndarray) -> np.ndarray:
@@ -42,9 +44,13 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def release() -> None:
-    """Gives the power tables of an unusually long text back."""
-    if _powers and len(_powers[0]) > 1 << 23:
+    """Gives back what a batch no longer needs: power tables of an unusually long text, Arrow's and the
+    allocator's free memory. A Python worker goes on from task to task and would keep its peak otherwise."""
+    if _powers and len(_powers[0]) > 1 << 21:
         _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def string_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +70,7 @@ def string_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], raw[offs[0] : offs[-1]]
 
 
-def chunks(offs: np.ndarray, limit: int = 2 << 20, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+def chunks(offs: np.ndarray, limit: int = 1 << 20, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
     """Runs of at most `most` documents and of at most limit bytes together, one document at least."""
     lo, n = 0, len(offs) - 1
     while lo < n:
