@@ -25,7 +25,7 @@ from tidelog.llm.scratch import materialise, modest_batches, partitions
 CAPACITY = 2048
 END_ID = 0
 #: Pre-tokens whose ids a Python worker keeps; the store starts anew beyond.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 250_000
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNKNOWN = 0, 1, 2, 3, 9
 #: Endings that the vocabulary's pre-tokenizer splits off behind an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
