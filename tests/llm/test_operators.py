@@ -225,6 +225,26 @@ def test_fullest_is_optimal():
     assert n == 10**9 + 5 and sum(s[2] for s in segments) == 10**9 + 12
 
 
+@pytest.mark.parametrize("times", [1, 50])
+@pytest.mark.parametrize("mean, spread", [(5.5, 1.2), (6.2, 0.9)])
+def test_plan_uses_hardly_more_sequences_than_the_ids_need(times, mean, spread):
+    rng = random.Random(5)
+    histogram = {}
+    for _ in range(20_000):
+        length = min(packing.CAPACITY, max(1, int(rng.lognormvariate(mean, spread))))
+        histogram[length] = histogram.get(length, 0) + times
+    segments, n = packing.plan(histogram)
+    need = -(-sum(k * v for k, v in histogram.items()) // packing.CAPACITY)
+    assert need <= n <= need + need // 10_000
+    ranks, filled = {}, np.zeros(n, np.int64)
+    for length, first, many, sequence, offset in segments:
+        assert first == ranks.get(length, 0) and (filled[sequence : sequence + many] == offset).all()
+        ranks[length] = first + many
+        filled[sequence : sequence + many] += length
+    assert ranks == histogram and filled.max() <= packing.CAPACITY
+    assert packing.fullest({2: 9, 3: 9, 5: 9}, 10) == {5: 2}
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------
 
 

@@ -195,14 +195,16 @@ def _pieces(vocabulary: tuple[str, str], with_ids: bool):
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """Lengths (with how many of each) whose sum is the largest that fits in room, long ones preferred."""
+    """Lengths (with how many of each) whose sum is the largest that fits in room, long ones preferred.
+
+    Lengths join from the longest down until some sum fills the room; of the shorter ones among them as few
+    as possible are taken, so that short pieces are left to fill later bins.
+    """
     goal = (1 << (room + 1)) - 1
     reach = 1
     steps = []
-    for length in sorted(counts):
+    for length in sorted(counts, reverse=True):
         most = min(counts[length], room // length)
-        if length > room:
-            break
         if not most:
             continue
         steps.append((length, most, reach))
@@ -217,7 +219,7 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     t = reach.bit_length() - 1
     chosen = {}
     for length, most, before in reversed(steps):
-        for copies in range(min(most, t // length), -1, -1):
+        for copies in range(min(most, t // length) + 1):
             if before >> (t - copies * length) & 1:
                 if copies:
                     chosen[length] = copies
