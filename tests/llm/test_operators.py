@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, fingerprint, language_id, near_dedup, packing, pii, quality, sharding, substring_dedup, token_counts
+from tidelog.llm import decontaminate, fingerprint, language_id, near_dedup, packing, pii, quality, queries, sharding, substring_dedup, token_counts
 from tidelog.llm.components import connected_components
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -434,6 +434,32 @@ def test_token_counts(docs, clashing, nothing):
     assert token_counts.token_counts(nothing).count() == 0
 
 
+def test_token_counts_cover_every_script(spark, tmp_path):
+    initial, inner = map(set, token_counts.byte_level_pieces(token_counts.default_vocabulary(), lone_blank=True))
+    assert b"" in initial
+    every = {b" " + p for p in initial} | inner
+    words = "считать так россия привет 中国 日本語 한국어 สวัสดีครับ Հայ नमस्ते 😀 🀄 € hello \x00 \x7f 中国人民共和国中央人民政府".split()
+    texts = [*words, " ".join(words), "", None]
+    want = []
+    for i, t in enumerate(texts):
+        each = [greedy(b" " + w, every, every) for w in ws(t)]
+        want.append((i, len(each), sum(each), max(each, default=0)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert bag(map(tuple, queries.op8_token_counts(spark, str(tmp_path)).collect())) == bag(want)
+
+
+def test_automaton_with_an_empty_initial_piece():
+    rng = random.Random(7)
+    for _ in range(60):
+        piece = lambda: bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 5)))
+        initial, inner = {piece() for _ in range(rng.randrange(1, 8))} | {b""}, {piece() for _ in range(rng.randrange(1, 8))}
+        a = token_counts.Automaton(initial, inner)
+        for _ in range(100):
+            w = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 14)))
+            want = greedy(b" " + w, {b" " + p for p in initial}, inner)
+            assert a[w] == (1 if want is None else want), (w, initial, inner)
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

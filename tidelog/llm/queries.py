@@ -45,7 +45,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), lone_blank=True)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,9 @@ FAIL = -1
 class Automaton(dict):
     """automaton[word] is the number of greedy pieces of a word; a dict of the words seen so far.
 
-    initial: pieces that may begin a word; inner: pieces that may follow. A word that can't be covered
-    whole counts as `unknown` pieces.
+    initial: pieces that may begin a word; inner: pieces that may follow. An empty initial piece counts as
+    one and lets inner pieces follow where no longer one fits. A word that can't be covered whole counts as
+    `unknown` pieces.
     """
 
     def __init__(self, initial: Iterable[bytes], inner: Iterable[bytes], unknown: int = 1):
@@ -35,7 +36,7 @@ class Automaton(dict):
         self.ends = [False, False]
         for root, pieces in ((0, initial), (1, inner)):
             for p in pieces:
-                if p:
+                if p or root == 0:
                     self._add(root, p)
         self._link()
 
@@ -54,6 +55,8 @@ class Automaton(dict):
         node 1; any other follows its parent's links until one can read the node's byte."""
         n = len(self.next)
         self.fail, self.popped = [FAIL] * n, [0] * n
+        if self.ends[0]:  # an empty initial piece
+            self.fail[0], self.popped[0] = 1, 1
         todo = deque([0, 1])
         while todo:
             u = todo.popleft()
@@ -95,8 +98,9 @@ class Automaton(dict):
         return n
 
 
-def byte_level_pieces(json_path: str) -> tuple[list[bytes], list[bytes]]:
-    """(initial, inner) pieces of a byte-level vocabulary, as bytes: those with a blank in front begin words."""
+def byte_level_pieces(json_path: str, lone_blank: bool = False) -> tuple[list[bytes], list[bytes]]:
+    """(initial, inner) pieces of a byte-level vocabulary, as bytes: those with a blank in front begin words.
+    With lone_blank the vocabulary's blank alone is among them, as an empty piece."""
     with open(json_path, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     # the byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes follow from 256 on
@@ -104,7 +108,7 @@ def byte_level_pieces(json_path: str) -> tuple[list[bytes], list[bytes]]:
     other = [b for b in range(256) if b not in printable]
     back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
     pieces = [bytes(back[c] for c in p) for p in vocabulary if all(c in back for c in p)]
-    return [p[1:] for p in pieces if p[:1] == b" " and len(p) > 1], [p for p in pieces if p[:1] != b" "]
+    return [p[1:] for p in pieces if p[:1] == b" " and (lone_blank or len(p) > 1)], [p for p in pieces if p[:1] != b" "]
 
 
 def default_vocabulary() -> str:
@@ -113,26 +117,29 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_automata: dict[str, Automaton] = {}
+_automata: dict[tuple[str, bool], Automaton] = {}
 
 
-def automaton(json_path: str) -> Automaton:
-    if json_path not in _automata:
-        _automata[json_path] = Automaton(*byte_level_pieces(json_path))
-    return _automata[json_path]
+def automaton(json_path: str, lone_blank: bool = False) -> Automaton:
+    key = json_path, lone_blank
+    if key not in _automata:
+        _automata[key] = Automaton(*byte_level_pieces(*key))
+    return _automata[key]
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", lone_blank: bool = False) -> DataFrame:
     """(doc_id, n_words, n_pieces, longest) for each row of docs: words, their word-pieces, most in one word.
 
     Words are runs of anything but ASCII white space, cut into UTF-8 bytes; a word's first piece is one that
-    the vocabulary has with a blank in front, later ones are those without. A word that can't be covered is
-    one piece. Null and empty texts have none. Every row is counted on its own; other columns are not read.
+    the vocabulary has with a blank in front, later ones are those without. lone_blank=True, as in the query,
+    lets the blank piece alone begin a word (one piece) where no longer one fits, so that a vocabulary with
+    all single bytes covers every word. A word that can't be covered is one piece. Null and empty texts have
+    none. Every row is counted on its own; other columns are not read.
     """
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = automaton(path)
+        known = automaton(path, lone_blank)
         for b in batches:
             out: list[tuple[int, int, int]] = []
             for text in b.column(1):
