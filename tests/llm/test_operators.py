@@ -329,6 +329,19 @@ def test_language(spark, docs, nothing):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_rejects_what_it_never_learned(spark):
+    rng = random.Random(10)
+    rows = [(i, speak(rng, t := rng.choice(list(TONGUES)), rng.randrange(5, 200)), t) for i in range(600)]
+    rows += [(600 + i, "zq " + speak(rng, "aa", 1) if i % 2 else "xkcd qqq", "aa") for i in range(8)]  # junk that is labelled
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    nonsense = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    foreign = ["Suomen kieli on uralilainen kieli jota puhutaan pääasiassa Suomessa ja sen lähialueilla", "Türkçe dünyada en çok konuşulan dillerden biridir ve birçok ülkede kullanılmaktadır", nonsense(string.ascii_lowercase, 100), nonsense(string.ascii_letters + string.digits, 300), nonsense("0123456789abcdef", 100), "これは日本語の文章です"]
+    clean = [speak(rng, t, n) for t in TONGUES for n in (1, 2, 3, 5, 20, 500) for _ in range(5)] + ["the " * 3000, "der"]
+    frame = spark.createDataFrame(list(enumerate(foreign + clean)), "doc_id long, text string")
+    assert {r.doc_id for r in language_id.drop_rejected(frame, model).collect()} == set(range(len(foreign), len(foreign + clean)))
+    assert {r.doc_id for r in language_id.identify(frame, model).collect() if r.rejected} == set(range(len(foreign)))
+
+
 def test_language_never_sees_the_held_out_quarter(spark):
     rng = random.Random(8)
     rows = [(i, speak(rng, "aa", 30), "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else "aa") for i in range(200)]

@@ -2,7 +2,8 @@
 
 Texts become normalised TF-IDF vectors of hashed byte n-grams. Each language has several centroids from
 spherical k-means over a bounded sample of labelled documents; the nearest centroid by cosine names the
-language, and a text farther than the model's distance from all of them is rejected.
+language, and a text is rejected whose cosine is below a part (NEAR) of what is typical of that language's texts
+with as many different n-grams.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ PER_LANGUAGE = 800
 MOST_DOCUMENTS, MOST_LANGUAGES = 4000, 200
 CENTROIDS = 3
 SHARPNESS = 25.0
+#: A text is rejected below this part of its language's typical cosine; below a part that falls with the
+#: size where it has fewer than 2**FULL different n-grams, as cosines of short texts scatter.
+NEAR, FULL = 0.45, 8
+#: Typical cosines are learned by log2 of different n-grams, from whole texts and beginnings of these lengths.
+SIZES = int(np.log2(DIMS)) + 1
+BEGINNINGS = (4, 8, 16, 32, 64, 128, 256, 512, 1024)
 UNKNOWN = "und"
 
 
@@ -35,7 +42,7 @@ class Model:
     owner: np.ndarray  # language of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    least: float  # cosine below which a text is rejected
+    least: np.ndarray  # by language and log2 of different n-grams: the cosine below which a text is rejected
 
 
 def counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -81,6 +88,33 @@ def _cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _size(c: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum((c > 0).sum(1), 1))
+
+
+def _least(sample: pa.ChunkedArray, label: np.ndarray, owner: np.ndarray, centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """NEAR of the median cosine to their own language of learned texts and their beginnings, by language and
+    size; sizes that no text has are interpolated."""
+    size, cosine, language = [], [], []
+    for length in (*BEGINNINGS, None):
+        for lo, c in counts(sample if length is None else pc.utf8_slice_codeunits(sample, 0, length)):
+            of = label[lo : lo + len(c)]
+            each = np.where(owner == of[:, None], vectors(c, idf) @ centroids.T, -1).max(1)
+            some = each > 0
+            size.append(_size(c)[some])
+            cosine.append(each[some])
+            language.append(of[some])
+    sizes, cosines, languages = (np.concatenate(x) for x in (size, cosine, language))
+    out = np.zeros((owner.max() + 1, SIZES))
+    for i in range(len(out)):
+        own = languages == i
+        at = np.rint(sizes[own]).astype(int)
+        known = np.unique(at)
+        if len(known):
+            out[i] = np.interp(np.arange(SIZES), known, [NEAR * min(1, k / FULL) * np.median(cosines[own][at == k]) for k in known])
+    return out
+
+
 def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 4 == 2
 
@@ -112,15 +146,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not centres:
         return None
     centroids = np.concatenate(centres).astype(np.float32)
-    best = (v @ centroids.T).max(1)
-    return Model(languages, np.array(owner), centroids, idf.astype(np.float32), float(np.quantile(best[best > 0], 0.001)) / 2 if (best > 0).any() else 0.0)
+    least = _least(sample["text"], np.searchsorted(languages, labels), np.array(owner), centroids, idf)
+    return Model(languages, np.array(owner), centroids, idf.astype(np.float32), least)
 
 
-def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and cosine of the nearest centroid of each text."""
+def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and cosine of the nearest centroid of each text, and whether the text is rejected."""
     letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     names = np.full(len(column), UNKNOWN, object)
-    score, nearest = np.zeros(len(column)), np.zeros(len(column))
+    score, nearest, rejected = np.zeros(len(column)), np.zeros(len(column)), np.ones(len(column), bool)
     if model is not None:
         for lo, c in counts(column):
             cosine = vectors(c, model.idf) @ model.centroids.T
@@ -129,16 +163,21 @@ def predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarra
             at = slice(lo, lo + len(c))
             names[at] = np.array(model.languages, object)[each.argmax(1)]
             score[at], nearest[at] = 1 / odds.sum(1), each.max(1)
-    names[~letters], score[~letters], nearest[~letters] = UNKNOWN, 0.0, 0.0
-    return names.tolist(), score, nearest
+            size = _size(c)
+            down = np.minimum(size.astype(int), SIZES - 2)
+            least = model.least[each.argmax(1)]
+            rows, part = np.arange(len(c)), size - down
+            rejected[at] = nearest[at] < least[rows, down] * (1 - part) + least[rows, down + 1] * part
+    names[~letters], score[~letters], nearest[~letters], rejected[~letters] = UNKNOWN, 0.0, 0.0, True
+    return names.tolist(), score, nearest, rejected
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, cosine, rejected) for each row of docs, from whole texts alone.
 
     A null text, or one without a letter, is `und`, score 0, and rejected; so is everything without a model.
-    lang_pred is else always a learned language: rejected says that the text is farther from all centroids
-    than any the model knows. A null id isn't held out. Other columns are not read.
+    lang_pred is else always a learned language: rejected says that the text's cosine is below NEAR of what is
+    typical of that language for as many different n-grams. A null id isn't held out. Other columns are not read.
     """
     modest_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
@@ -146,9 +185,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
         for b in batches:
-            names, score, cosine = predict(m, b.column(2))
-            least = m.least if m else 1.0
-            out = np.array([x == UNKNOWN for x in names], bool) | (cosine < least)
+            names, score, cosine, out = predict(m, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(cosine), pa.array(out)], names=["doc_id", "held_out", "lang_pred", "score", "cosine", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -164,8 +201,6 @@ def drop_rejected(docs: DataFrame, model: Model | None, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
         for b in batches:
-            names, _, cosine = predict(m, b.column(place).cast(pa.string()))
-            keep = np.array([x != UNKNOWN for x in names], bool) & (cosine >= (m.least if m else 1.0))
-            yield b.filter(pa.array(keep))
+            yield b.filter(pa.array(~predict(m, b.column(place).cast(pa.string()))[3]))
 
     return docs.mapInArrow(run, docs.schema)
