@@ -329,6 +329,18 @@ def test_language(spark, docs, nothing):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(11)
+    ids = iter(i for i in range(5000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(next(ids), speak(rng, "aa", 3), f"l{k:03}") for k in range(260) for _ in range(1 + 2 * (k < 200))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    everything = sorted({r[2] for r in rows})
+    assert language_id.fit(frame).languages == everything
+    monkeypatch.setattr(language_id, "MOST_DOCUMENTS", 10)
+    monkeypatch.setattr(language_id, "FEW", 0.01)
+    assert language_id.fit(frame).languages == everything
+
+
 def test_language_rejects_what_it_never_learned(spark):
     rng = random.Random(10)
     rows = [(i, speak(rng, t := rng.choice(list(TONGUES)), rng.randrange(5, 200)), t) for i in range(600)]

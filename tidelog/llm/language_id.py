@@ -23,8 +23,8 @@ from tidelog.llm.scratch import modest_batches
 DIMS = 4096
 #: Documents to learn from for each language, about; a larger corpus is sampled by a hash of the id.
 PER_LANGUAGE = 800
-#: And about as many at most for all languages together, of which only the most frequent ones are learned.
-MOST_DOCUMENTS, MOST_LANGUAGES = 4000, 200
+#: And about as many for all languages together, but FEW for each however many languages there are.
+MOST_DOCUMENTS, FEW = 4000, 4
 CENTROIDS = 3
 SHARPNESS = 25.0
 #: A text is rejected below this part of its language's typical cosine; below a part that falls with the
@@ -121,18 +121,18 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Learns from text and lang of rows outside the held-out quarter, about per_language rows for each
-    language (chosen by a hash of the id). None without such rows."""
+    language (chosen by a hash of the id), one at least. Every language is learned; the model takes 48 KB
+    for each at most. None without such rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30))
+    known = rows.groupBy("lang").agg(F.count("*").alias("_n"), F.min("_share").alias("_first"))
+    sizes = known.collect()  # a row for each language
     if not sizes:
         return None
-    per_language = min(per_language, MOST_DOCUMENTS / len(sizes))
-    share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for name, size in sizes.items():
-        chosen = chosen | ((F.col("lang") == name) & (share < per_language / size))
-    sample = rows.where(chosen).select("lang", "text").toArrow()
+    per_language = max(FEW, min(per_language, MOST_DOCUMENTS / len(sizes)))
+    chosen = (F.col("_share") < per_language / F.col("_n")) | (F.col("_share") == F.col("_first"))
+    sample = rows.join(F.broadcast(docs.sparkSession.createDataFrame(sizes, known.schema)), "lang").where(chosen).select("lang", "text").toArrow()
     labels = np.array(sample["lang"].to_pylist())
     c = np.concatenate([x for _, x in counts(sample["text"])]).astype(np.float32) if len(labels) else np.zeros((0, DIMS), np.float32)
     idf = np.log((1 + len(c)) / (1 + (c > 0).sum(0))) + 1
