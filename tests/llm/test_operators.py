@@ -537,6 +537,12 @@ def test_redaction(spark):
     assert not any(brute_spans(t) for t in texts.values())
 
 
+def test_shape_sees_the_whole_of_a_long_opaque_string(spark):
+    texts = ["a" * 70 + "0123456789bcdefghij", "a" * 80 + "1", "0123456789bcdefghij" + "a" * 70]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("kind = 'secret'")
+    assert {r.doc_id: r["shape"] for r in found.collect()} == {0: 1, 1: -1, 2: 1}
+
+
 def test_labelers_learn_what_is_reliable():
     patterns = [("card", 1, (1, 1, 1, 0), 500), ("card", 1, (-1, 0, 0, -1), 2000), ("number", 1, (1, 1, 1, 0), 40), ("number", 0, (-1, 0, -1, -1), 400), ("secret", 2, (1, 0, 1, 1), 30)]
     m = pii.learn(patterns)

@@ -71,7 +71,7 @@ def _valid(kind: Column, match: Column) -> Column:
 def _votes(kind: Column, match: Column, before: Column, valid: Column) -> dict[str, Column]:
     """+1: personal, -1: not, 0: no opinion; for each labeler."""
     d = _digits(match)
-    different = F.size(F.array_distinct(F.split(F.substring(match, 1, 64), "")))
+    different = F.size(F.array_distinct(F.split(match, "")))
     return {
         "pattern": F.when(kind.isin(*KINDS[:4]), F.when(valid, 1).otherwise(-1))
         .when(kind == "number", F.when(F.length(d).between(9, 19), 1).when(F.length(d) < 8, -1).otherwise(0))
