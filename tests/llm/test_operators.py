@@ -381,6 +381,18 @@ def test_quality(spark, docs, nothing):
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5} and quality.score(nothing, model).count() == 0
 
 
+@pytest.mark.parametrize("good, bad", [(1, 1), (3, 1), (1, 3), (2, 3), (3, 3)])
+def test_quality_from_a_few_labels(spark, good, bad):
+    rng = random.Random(12)
+    ids = iter(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    labels = [(next(ids), y, 0) for y in [1] * good + [0] * bad]
+    rows = [(i, speak(rng, "aa" if y else "bb", 200)) for i, y, _ in labels]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    score = {r.doc_id: r.score for r in quality.score(frame, model).collect()}
+    assert min(score[i] for i, y, _ in labels if y) > max(score[i] for i, y, _ in labels if not y)
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------
 
 

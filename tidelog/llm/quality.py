@@ -79,7 +79,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model | None:
     """Learns from labelled rows outside the held-out quarter, about per_class of either class, chosen by a
-    hash of the id; half of them build the dictionaries, half the curve. None if a class is missing."""
+    hash of the id; half of them build the dictionaries, half the curve; a class's only document does both. None if a class
+    has no document with a text."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1)")
     known = known.where(F.coalesce(~held_out(F.col("_id")), F.lit(False))).groupBy("_id").agg(F.max("_y").alias("_y"))
     sizes = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
@@ -90,12 +91,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     rows = text.join(F.broadcast(chosen), "_id").select("_id", "_y", "text").orderBy(F.xxhash64("_id", F.lit(17)), "_id").toArrow().to_pylist()  # about 2 * per_class rows
     half = [[r for r in rows if r["_y"] == y] for y in (0, 1)]
-    if min(map(len, half)) < 4:
+    if not all(half):
         return None
     learn = [[r["text"] for r in side[::2]] for side in half]
     bad, good = _dictionary(learn[0]), _dictionary(learn[1])
     evidence = Evidence(good, bad)
-    x = [np.array([evidence(r["text"]) for r in side[1::2]]) for side in half]
+    x = [np.array([evidence(r["text"]) for r in side[1::2] or side]) for side in half]
     weight = sizes[1] / len(half[1]) / (sizes[0] / len(half[0]))  # the sample has the classes at other shares
     w, c = _logistic(np.concatenate(x), np.concatenate([np.zeros(len(x[0])), np.ones(len(x[1]))]))
     return Model(good, bad, (w, c + float(np.log(weight))))
