@@ -35,6 +35,14 @@ def test_query_equals_sql(spark, duck, name):
     assert canonical(got) == canonical(want)
 
 
+def test_list_topics_asks_a_store(spark, monkeypatch):
+    made = []
+    create = catalogue.Store.create_topic
+    monkeypatch.setattr(catalogue.Store, "create_topic", lambda self, *a: made.append(a) or create(self, *a))
+    monkeypatch.setattr(catalogue.Store, "topics", lambda self: spark.createDataFrame([("x", sum(self.topics_by_name.values()))], "name string, partitions int"))
+    assert [tuple(r) for r in catalogue.QUERIES["list_topics"](spark, BASE).collect()] == [("x", 29)] and made == catalogue.TOPICS
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, BASE).count() > 0
