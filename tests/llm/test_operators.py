@@ -1,5 +1,6 @@
 """The ten operators against brute force, on a small corpus with every awkward row."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, fingerprint, language_id, near_dedup, packing, pii, quality, queries, sharding, substring_dedup, token_counts
+from tidelog.llm import decontaminate, fingerprint, language_id, near_dedup, packing, pii, quality, queries, sharding, substring_dedup, textops, token_counts
 from tidelog.llm.components import connected_components
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -177,6 +178,40 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def doubled(n):
+    """Two different words of n letters, made by replacing a by ab and b by ba."""
+    word = "a"
+    while len(word) < n:
+        word = word.translate({97: "ab", 98: "ba"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("size", [16, 512, 1024, 2048, 4096])
+def test_words_made_by_doubling_are_told_apart(spark, size):
+    x, y = doubled(size)
+    assert x != y
+    tail = " ".join(f"w{i}" for i in range(12))
+    frame = spark.createDataFrame([(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, x), (4, y), (5, f"{x} b c"), (6, f"{y} b c")], "doc_id long, text string").coalesce(1)
+    rows = [tuple(r) for r in frame.collect()]
+    assert bag(map(tuple, near_dedup.near_duplicates(frame, 4, 80).collect())) == bag(brute_near(rows, 4, 80))
+    assert bag(map(tuple, substring_dedup.remove_repeats(frame).collect())) == bag(brute_repeats(rows))
+    library = packing.encoder(packing.default_vocabulary()).library
+    ids = {r.doc_id: r.ids for r in packing.pack(frame.where("doc_id in (3, 4)")).collect()}
+    assert ids == {i: library.encode(t, add_special_tokens=False).ids + [0] for i, t in ((3, x), (4, y))}
+
+
+def test_segment_hash_is_of_the_bytes_alone():
+    rng = random.Random(14)
+    words = list({bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 2, 7, 8, 9, 16, 63, 64, 65, 200]))) for _ in range(2000)})
+    seen = []
+    for order in (words, words[::-1]):
+        data = np.frombuffer(b"".join(order), np.uint8)
+        ends = np.cumsum([len(w) for w in order])
+        starts = ends - [len(w) for w in order]
+        seen.append(dict(zip(order, textops.segment_hash(data, starts, ends).tolist(), strict=True)))
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == len(words)
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------
 
 
@@ -190,6 +225,34 @@ def test_encoder_equals_the_library():
         assert got[i] == enc.library.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_compares_what_hashes_alike(monkeypatch):
+    """With a hash that tells nothing apart every pre-token but the first one is encoded on its own."""
+    monkeypatch.setattr(textops, "segment_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    enc = packing.Encoder(*packing.default_vocabulary())
+    texts = [t for i, t in CORPUS if i != 88]
+    for i, ids in enc.runs(texts, chunk=3000):
+        assert ids.tolist() == enc.library.encode(texts[i] or "", add_special_tokens=False).ids, repr(texts[i])
+
+
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for k in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, k)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - k)
+    return len(rooms)
+
+
+def test_real_lengths_take_no_more_sequences_than_best_fit(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    lengths = []
+    for _, ids in packing.encoder(packing.default_vocabulary()).runs([r.text for r in rows]):
+        n = len(ids) + 1
+        lengths += [packing.CAPACITY] * (n // packing.CAPACITY) + [n % packing.CAPACITY] * (n % packing.CAPACITY > 0)
+    _, sequences = packing.plan({k: lengths.count(k) for k in set(lengths)})
+    assert sequences == -(-sum(lengths) // packing.CAPACITY) == best_fit_decreasing(lengths, packing.CAPACITY) == 481
+
+
 def test_packing(docs, clashing, nothing):
     enc = packing.encoder(packing.default_vocabulary())
     for frame in (docs, clashing):
@@ -431,6 +494,20 @@ def test_repeats_with_a_full_index(docs, monkeypatch):
     assert bag(map(tuple, substring_dedup.remove_repeats(docs).collect())) == bag(brute_repeats(CORPUS))
 
 
+def test_repeats_that_a_task_remembers(docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 500)
+    for most in (200_000, 3, 0):
+        monkeypatch.setattr(substring_dedup, "REMEMBERED", most)
+        assert bag(map(tuple, substring_dedup.remove_repeats(docs.coalesce(1)).collect())) == bag(brute_repeats(CORPUS))
+
+
+def test_remembered_windows_are_compared_whole():
+    known = substring_dedup._Repeated()
+    h, check = np.array([7, 9, 9], np.uint64), np.array([1, 2, 3], np.uint32)
+    known.add(h[:2], check[:2], np.array([5, 4]))
+    assert known.least(h, check).tolist() == [5, 4, substring_dedup.NULL_ID]
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ itself only needs how many pieces there are of each length, which is at most CAP
 many documents there are. For one bin after another a bitset subset-sum finds the fullest combination of
 the lengths at hand that holds the longest of them; it is removed as many times as the counts allow,
 which uses up at least one length, so there are at most CAPACITY such patterns. Each slot of a pattern
-takes a run of the pieces of its length, by rank, and a join on length and rank gives every piece its place.
+takes a run of the pieces of its length, by rank, and a search by length and rank finds every piece its place.
 """
 
 from __future__ import annotations
@@ -40,9 +40,10 @@ def default_vocabulary() -> tuple[str, str]:
 class Encoder:
     """Ids of texts under a byte-level BPE vocabulary, equal to those of the tokenizers library.
 
-    Pre-tokens are cut in bulk over code points; each distinct one is encoded once. Classes of code points
-    are asked of the library's own pre-tokenizer. A text that holds a special token's string goes through
-    the library as a whole.
+    Pre-tokens are cut in bulk over code points; each distinct one is encoded once. They are found again by
+    hash and then compared themselves: one that differs from the known one of its hash is encoded on its own.
+    Classes of code points are asked of the library's own pre-tokenizer. A text that holds a special token's
+    string goes through the library as a whole.
     """
 
     def __init__(self, json_path: str, ranks_path: str):
@@ -62,6 +63,7 @@ class Encoder:
     def _reset(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.at = array("I"), array("q", [0])
+        self.points, self.points_at = array("I"), array("q", [0])
 
     def _classify(self, points: np.ndarray) -> np.ndarray:
         got = self.classes[points]
@@ -109,6 +111,23 @@ class Encoder:
             quote = quote[~fits]
         return np.flatnonzero(start)
 
+    def _ids(self, points: np.ndarray) -> list[int]:
+        return self.bpe._encode_single_piece(points.tobytes().decode("utf-32-le"))
+
+    def _differs(self, slots: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Pre-tokens that aren't the known ones of their slots."""
+        at, size = np.array(self.points_at), ends - starts
+        out = at[slots + 1] - at[slots] != size
+        same = np.flatnonzero(~out)
+        size = size[same]
+        first = np.cumsum(size) - size
+        inside = np.arange(int(size.sum()))
+        known = np.frombuffer(self.points, np.uint32)[inside + np.repeat(at[slots[same]] - first, size)]
+        other = known != points[inside + np.repeat(starts[same] - first, size)]
+        if other.any():
+            out[same[np.logical_or.reduceat(other, first)]] = True
+        return np.flatnonzero(out)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -118,28 +137,33 @@ class Encoder:
         doc_at = np.concatenate([[0], np.cumsum(lengths)])
         starts = self._starts(points, doc_at[:-1][lengths > 0])
         ends = np.append(starts[1:], len(points))
-        low = (points & 0xFFFF).astype(np.uint16)
-        h = X.segment_hash(low, starts, ends)
-        if points.max() > 0xFFFF:
-            high = (points >> 16).astype(np.uint16)
-            h = X.fmix(h + X.segment_hash(high, starts, ends) * np.uint64(3))
-        names, where, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_WORDS:
+        folded = (points ^ (points >> np.uint32(16))).astype("<u2").view(np.uint8)
+        names, where, which = np.unique(X.segment_hash(folded, 2 * starts, 2 * ends), return_index=True, return_inverse=True)
+        if len(self.known) > KEPT_WORDS or len(self.points) > 16 * KEPT_WORDS:
             self._reset()
         slots = list(map(self.known.get, names.tolist()))
         for i, s in enumerate(slots):
             if s is None:
                 w = where[i]
-                ids = self.bpe._encode_single_piece(points[starts[w] : ends[w]].tobytes().decode("utf-32-le"))
                 slots[i] = self.known[int(names[i])] = len(self.at) - 1
-                self.flat.extend(ids)
+                own = points[starts[w] : ends[w]]
+                self.flat.extend(self._ids(own))
                 self.at.append(len(self.flat))
+                self.points.frombytes(own.tobytes())
+                self.points_at.append(len(self.points))
+        slots = np.array(slots)[which]
+        differs = self._differs(slots, points, starts, ends)
         at = np.array(self.at)
-        slots = np.array(slots)
-        lo, size = at[slots][which], (at[slots + 1] - at[slots])[which]
+        flat = np.array(self.flat, np.uint32)
+        if len(differs):
+            own = [self._ids(points[starts[i] : ends[i]]) for i in differs.tolist()]
+            at = np.append(at, len(flat) + np.cumsum([len(x) for x in own]))
+            flat = np.append(flat, np.array([y for x in own for y in x], np.uint32))
+            slots[differs] = len(self.at) - 1 + np.arange(len(own))
+        lo, size = at[slots], at[slots + 1] - at[slots]
         ends_out = np.cumsum(size)
         gather = np.arange(int(ends_out[-1])) + np.repeat(lo - ends_out + size, size)
-        ids = np.frombuffer(self.flat, np.uint32)[gather]
+        ids = flat[gather]
         by_doc = np.concatenate([[0], ends_out])[np.searchsorted(starts, doc_at)]
         return ids, np.diff(by_doc)
 
@@ -254,6 +278,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     return out, sequences
 
 
+def _places(segments: list[tuple[int, int, int, int, int]]):
+    """Finds each piece's segment by its length and rank. There are a few thousand segments at most."""
+    known = np.array(sorted(segments), np.int64).reshape(-1, 5)
+    first = known[:, 0] << 48 | known[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rank = b["_rank"].to_numpy()
+            at = known[np.searchsorted(first, b["length"].to_numpy() << 48 | rank, side="right") - 1]
+            columns = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in columns), pa.array(at[:, 3] + rank - at[:, 1]), pa.array(at[:, 4])], names=[*columns, "sequence_id", "offset"])
+
+    return run
+
+
 def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset): a row for each piece of each row of docs.
 
@@ -273,6 +312,4 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, with_ids: b
     dealt = made.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
     before = dealt.groupBy("length", "_b").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     ranked = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece"))).join(before, ["length", "_b"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1)
-    places = spark.createDataFrame(segments or [(0, 0, 0, 0, 0)], "length long, _from long, _many long, _seq long, offset long")
-    at = ranked.alias("r").join(F.broadcast(places).alias("p"), (F.col("r.length") == F.col("p.length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_many")))
-    return at.select("doc_id", "piece", "start", F.col("r.length").alias("length"), "ids_crc32", "ids", (F.col("_seq") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
+    return ranked.mapInArrow(_places(segments), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>, sequence_id long, offset long")

@@ -6,10 +6,11 @@
 2. Probe: every rolling window of BLOCK words of every document looks itself up; at an anchor's own place the
    second bit set counts. Any WINDOW = 2 BLOCK - 1 words that occur in two documents hold a whole block of
    either, so each side hits the other's anchor.
-3. Extend: hits grow to all WINDOW-word windows around them. These are matched exactly (64-bit keys of whole
-   windows) for the smallest document that has them; runs of confirmed windows are the maximal repeats.
+3. Extend: hits grow to all WINDOW-word windows around them. These are matched for the smallest document that
+   has them, by keys of 96 bits over the words' hashes; runs of confirmed windows are the maximal repeats.
    Of windows that occur many times in one chunk of documents only the smallest document's are sent on: the
-   others are already known to have an earlier one. So a passage in a third of all documents loads no task.
+   others are already known to have an earlier one. A task remembers such windows from chunk to chunk. So a
+   passage in a third of all documents loads no task.
 4. The confirmed words go back to their documents, which are the only rows that carry texts.
 """
 
@@ -30,6 +31,10 @@ from tidelog.llm.scratch import materialise, modest_batches, partitions
 WINDOW, BLOCK = 13, 7
 #: Index size: bits for each block, most bits in all (256 MB), bits of one slice, and bits set for a block.
 BITS_EACH, MOST_BITS, SLICE_BITS, PROBES = 12, 1 << 31, 1 << 20, 4
+#: Windows that a task remembers as repeated; without them more is sent, and the result is the same.
+REMEMBERED = 200_000
+#: Bytes of text that are probed at once.
+CHUNK = 2 << 20
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -100,11 +105,12 @@ def _has(index: np.ndarray, h: np.ndarray, slices: int, bits: int) -> np.ndarray
     return out
 
 
-ROW = "part int, kind int, ids binary, keys binary, counts binary, pos binary, hashes binary"
+FIELDS = ("ids", "keys", "counts", "pos", "hashes", "checks")
+ROW = "part int, kind int, " + ", ".join(f"{f} binary" for f in FIELDS)
 
 
-def _pack(part: np.ndarray, kind: int, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray, hashes: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """One row for each part: its documents (runs in order), the windows' places and hashes."""
+def _pack(part: np.ndarray, kind: int, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, keys: np.ndarray, hashes: np.ndarray | None = None, checks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """One row for each part: its documents (runs in order), the windows' places, hashes and checks."""
     order = np.lexsort((pos, doc, part))
     part, doc, pos = part[order], doc[order], pos[order]
     new_doc = np.ones(len(part), bool)
@@ -113,23 +119,70 @@ def _pack(part: np.ndarray, kind: int, doc: np.ndarray, pos: np.ndarray, ids: np
     counts = np.diff(np.append(heads, len(part))).astype(np.uint32)
     names, docs_each = np.unique(part[heads], return_counts=True)
     rows_each = np.unique(part, return_counts=True)[1]
-    hashed = X.binary(hashes[order], rows_each) if hashes is not None else pa.array([b""] * len(names), pa.binary())
+    hashed = [X.binary(h[order], rows_each) if h is not None else pa.array([b""] * len(names), pa.binary()) for h in (hashes, checks)]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(names.astype(np.int32)), pa.array(np.full(len(names), kind, np.int32)), X.binary(ids[doc[heads]], docs_each), X.binary(keys[doc[heads]], docs_each), X.binary(counts, docs_each), X.binary(pos.astype(np.uint32), rows_each), hashed],
-        names=["part", "kind", "ids", "keys", "counts", "pos", "hashes"],
+        [pa.array(names.astype(np.int32)), pa.array(np.full(len(names), kind, np.int32)), X.binary(ids[doc[heads]], docs_each), X.binary(keys[doc[heads]], docs_each), X.binary(counts, docs_each), X.binary(pos.astype(np.uint32), rows_each), *hashed],
+        names=["part", "kind", *FIELDS],
     )
 
 
+def _groups(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal windows together, and where each group begins in it."""
+    order = np.lexsort((check, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
+    return order, np.flatnonzero(new)
+
+
+def _least(h: np.ndarray, check: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each window the smallest owner of an equal one."""
+    order, heads = _groups(h, check)
+    out = np.empty(len(h), np.int64)
+    if len(h):
+        out[order] = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(h))))
+    return out
+
+
+class _Repeated:
+    """Windows that a task has met repeatedly, with the smallest document of each."""
+
+    def __init__(self):
+        self.h, self.check, self.id = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def least(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The document remembered for each window; one after all others where there is none."""
+        out = np.full(len(h), NULL_ID)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            found = (self.h[at] == h) & (self.check[at] == check)
+            out[found] = self.id[at[found]]
+        return out
+
+    def add(self, h: np.ndarray, check: np.ndarray, least: np.ndarray) -> None:
+        if not len(h):
+            return
+        h, check, ids = np.append(h, self.h), np.append(check, self.check), np.append(least, self.id)
+        order = np.lexsort((ids, h))
+        first = np.ones(len(h), bool)
+        first[1:] = h[order][1:] != h[order][:-1]
+        chosen = order[first]
+        if len(chosen) > REMEMBERED:
+            chosen = np.sort(chosen)[:REMEMBERED]  # the latest ones come first
+            chosen = chosen[np.argsort(h[chosen], kind="stable")]
+        self.h, self.check, self.id = h[chosen], check[chosen], ids[chosen]
+
+
 def _probe(index, slices: int, bits: int, parts: int):
     """Windows around hits: those to be matched by part (kind 0), and those already confirmed (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, more = (np.frombuffer(x, np.uint8) for x in index.value)
+        known = _Repeated()
         for b in batches:
             offs, data = X.string_view(b.column(2))
             ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             keys = b.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in X.chunks(offs, 2 << 20):
+            for lo, hi in X.chunks(offs, CHUNK):
                 words, word_offs = _words(b.column(2), lo, hi, offs, data)
                 at, counts = X.window_starts(word_offs, BLOCK)
                 inside = at - np.repeat(word_offs[:-1], counts)
@@ -145,28 +198,26 @@ def _probe(index, slices: int, bits: int, parts: int):
                 pos = (at - np.repeat(word_offs[:-1], counts))[near]
                 if not len(pos):
                     continue
-                h = X.window_hash(words, at[near], WINDOW)
-                order = np.lexsort((ids[doc], h))
-                first = np.ones(len(h), bool)
-                first[1:] = h[order][1:] != h[order][:-1]
-                least = np.empty(len(h), np.int64)
-                least[order] = ids[doc[order]][np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
+                h, check = X.window_hash(words, at[near], WINDOW), X.window_check(words, at[near], WINDOW)
+                least = np.minimum(_least(h, check, ids[doc]), known.least(h, check))
                 later = ids[doc] > least
+                known.add(h[later], check[later], least[later])
                 ask = ~later
                 part = (h % np.uint64(parts)).astype(np.int64)
-                yield from _pack(part[ask], 0, doc[ask], pos[ask], ids, keys, h[ask])
+                yield from _pack(part[ask], 0, doc[ask], pos[ask], ids, keys, h[ask], check[ask])
                 if later.any():
-                    yield from _pack(np.full(int(later.sum()), int(part[later][0])), 1, doc[later], pos[later], ids, keys, None)
+                    yield from _pack(np.full(int(later.sum()), int(part[later][0])), 1, doc[later], pos[later], ids, keys)
             X.release()
 
     return run
 
 
 def _unpack(rows: dict[str, list[bytes]]) -> tuple[np.ndarray, ...]:
+    """ids and keys of documents, each window's document among them, place, hash and check."""
     joined = {k: b"".join(v) for k, v in rows.items()}
     counts = np.frombuffer(joined["counts"], np.uint32)
     doc = np.repeat(np.arange(len(counts)), counts)
-    return np.frombuffer(joined["ids"], np.int64), np.frombuffer(joined["keys"], np.int64), doc, np.frombuffer(joined["pos"], np.uint32), np.frombuffer(joined["hashes"], np.uint64)
+    return np.frombuffer(joined["ids"], np.int64), np.frombuffer(joined["keys"], np.int64), doc, np.frombuffer(joined["pos"], np.uint32), np.frombuffer(joined["hashes"], np.uint64), np.frombuffer(joined["checks"], np.uint32)
 
 
 def _confirm(buckets: int):
@@ -177,23 +228,17 @@ def _confirm(buckets: int):
         for b in batches:
             for row in b.to_pylist():
                 if row["kind"]:
-                    ids, keys, doc, pos, _ = _unpack({k: [row[k]] for k in ("ids", "keys", "counts", "pos", "hashes")})
-                    yield from _pack(_bucket(keys, buckets)[doc], 1, doc, pos, ids, keys, None)
+                    ids, keys, doc, pos, *_ = _unpack({k: [row[k]] for k in FIELDS})
+                    yield from _pack(_bucket(keys, buckets)[doc], 1, doc, pos, ids, keys)
                 else:
-                    held = asked.setdefault(row["part"], {k: [] for k in ("ids", "keys", "counts", "pos", "hashes")})
+                    held = asked.setdefault(row["part"], {k: [] for k in FIELDS})
                     for k, v in held.items():
                         v.append(row[k])
         for part in list(asked):
-            ids, keys, doc, pos, h = _unpack(asked.pop(part))
-            owner = ids[doc]
-            order = np.argsort(h, kind="stable")
-            sorted_h = h[order]
-            heads = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
-            least = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(h))))
-            later = np.zeros(len(h), bool)
-            later[order] = owner[order] > least
+            ids, keys, doc, pos, h, check = _unpack(asked.pop(part))
+            later = ids[doc] > _least(h, check, ids[doc])
             if later.any():
-                yield from _pack(_bucket(keys, buckets)[doc][later], 1, doc[later], pos[later], ids, keys, None)
+                yield from _pack(_bucket(keys, buckets)[doc][later], 1, doc[later], pos[later], ids, keys)
 
     return run
 

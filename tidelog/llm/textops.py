@@ -7,6 +7,7 @@ temporaries stay within a few tens of MB; a document longer than a chunk is a ch
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,9 @@ _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_CODE = np.random.default_rng(20240117).integers(1, 2**63, 65536, dtype=np.int64).view(U64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
+#: Longer segments than LANES lanes of 8 bytes are hashed by a library, one by one.
+LANES = 8
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], U64)
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -33,21 +34,9 @@ def fmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers[:] = [
-            np.concatenate([np.ones(1, U64), np.multiply.accumulate(np.full(size - 1, b, U64))]) for b in (_BASE, inverse)
-        ]
-    return _powers[0][:n], _powers[1][:n]
-
-
 def release() -> None:
-    """Gives back what a batch no longer needs: power tables of an unusually long text, Arrow's and the
-    allocator's free memory. A Python worker goes on from task to task and would keep its peak otherwise."""
-    if _powers and len(_powers[0]) > 1 << 21:
-        _powers.clear()
+    """Gives back what a batch no longer needs: Arrow's and the allocator's free memory. A Python worker goes
+    on from task to task and would keep its peak otherwise."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
@@ -102,15 +91,30 @@ def ws_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[starts[i]:ends[i]] for each i, from one prefix sum over data."""
-    n = len(data)
-    up, down = _pow(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_CODE[data] * up[:n], out=sums[1:])
-    return fmix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of the bytes data[starts[i]:ends[i]] for each i.
+
+    The bytes are mixed in lane after lane of 8, over all segments that reach so far; the mixing is one to one,
+    so that different segments of up to 8 bytes and one length never share a hash.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    size = ends - starts
+    h = fmix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15))
+    live = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+    for lane in range(LANES):
+        left = size[live] - 8 * lane
+        h[live] = fmix(h[live] ^ (lanes[starts[live] + 8 * lane] & _KEEP[np.minimum(left, 8)]))
+        live = live[left > 8]
+        if not len(live):
+            break
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 _MULT = fmix(np.arange(1, 65, dtype=U64)) | U64(1)
+_CHECK = fmix(np.arange(1001, 1065, dtype=U64)) | U64(1)
 
 
 def window_hash(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -121,6 +125,14 @@ def window_hash(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return fmix(h)
 
 
+def window_check(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """32 more bits on the k word hashes from each position of at, independent of window_hash."""
+    h = np.zeros(len(at), U64)
+    for j in range(k):
+        h += words[at + j] * _CHECK[j]
+    return (fmix(h) >> U64(32)).astype(np.uint32)
+
+
 def sequence_hash(words: np.ndarray) -> np.uint64:
     """Hash of a whole sequence of fewer words than a shingle has."""
     with np.errstate(over="ignore"):
