@@ -9,7 +9,7 @@ from tidelog.client import Broker
 from tidelog.operators.fold import membership
 from tidelog.streaming import sinks
 from tidelog.streaming.coordinator import membership_stream
-from tidelog.streaming.source import TideLog
+from tidelog.streaming.source import TideLog, _Stream
 
 CONTROL = "grp string, seq bigint, ts timestamp_ntz, conn_id bigint, op string, generation bigint"
 
@@ -103,3 +103,27 @@ def test_windows_and_dedupe(spark, tmp_path):
         q = frame.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(name).count() >= n
+
+
+def test_a_limited_stream_goes_on_where_it_stood(spark, tmp_path):
+    b = Broker(spark, str(tmp_path / "log"), clock=lambda: 0)
+    b.store.create_topic("t", 2)
+    feed(b, spark, [(i % 2, f"r{i}") for i in range(14)])
+    with pytest.raises(ValueError, match="needs a name"):
+        _Stream({"root": str(tmp_path / "log"), "topic": "t", "maxRecordsPerPartition": "2"}).latestOffset()
+    batches = []
+
+    def go(wanted):
+        rows = spark.readStream.format("tidelog").option("root", str(tmp_path / "log")).option("topic", "t").option("name", "s").option("maxRecordsPerPartition", 2).load()
+        q = rows.writeStream.foreachBatch(lambda f, i: batches.append(sorted((r.partition, r.offset) for r in f.collect()))).option("checkpointLocation", str(tmp_path / "c")).start()
+        end = time.time() + 60
+        while time.time() < end and sum(map(len, batches)) < wanted:
+            time.sleep(0.2)
+        q.stop()
+
+    go(6)
+    go(14)
+    feed(b, spark, [(0, "r14")])
+    go(15)
+    assert sorted(x for b in batches for x in b) == sorted([(p, o) for p in (0, 1) for o in range(7)] + [(0, 7)])
+    assert max(sum(p == 0 for p, _ in b) for b in batches) <= 2

@@ -4,13 +4,17 @@
     python -m tidelog.cli --data DIR topics
     python -m tidelog.cli --data DIR produce TOPIC [-p PARTITION] [-m MESSAGE]      (lines of standard input without -m)
     python -m tidelog.cli --data DIR consume TOPIC [-p PARTITION] [-o OFFSET] [-f]
-    python -m tidelog.cli --data DIR consume TOPIC -g GROUP
+    python -m tidelog.cli --data DIR consume TOPIC -g GROUP [-f]
+
+With -f consume goes on polling, else it ends with what is there.
 """
 
 from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
+from itertools import islice
 
 from tidelog import schema as S
 from tidelog.client import Admin, Broker, Consumer, GroupConsumer
@@ -38,6 +42,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+#: A line of standard input that is longer than a payload may be, and this much, ends the reading.
+LINE_CAP = S.MAX_PAYLOAD + 1024
+#: Lines that go into one append.
+LINES_AT_ONCE = 1000
+
+
+def _lines(stdin) -> Iterator[str]:
+    """Lines without their ends. What comes before a line that is too long is given."""
+    while line := stdin.readline(LINE_CAP + 1):
+        if len(line.encode()) > LINE_CAP:
+            raise LogError("MSG_TOO_LARGE", f"a line of more than {LINE_CAP} bytes")
+        yield line.removesuffix("\n").removesuffix("\r")
+
+
 def _follow(broker: Broker, a: argparse.Namespace, out) -> None:
     offset, reader = a.offset or 0, Consumer(broker)
     while True:
@@ -52,11 +70,12 @@ def _follow(broker: Broker, a: argparse.Namespace, out) -> None:
 def _group(broker: Broker, a: argparse.Namespace, out) -> None:
     """Prints and commits batch by batch. A stale commit goes on after the rejoin; an unknown member ends."""
     c = GroupConsumer(broker, a.group, a.topic)
-    while records := c.poll():
+    while (records := c.poll()) or (a.follow and not broker.store.stopping):
         for p, o, payload in records:
             print(f"{p}\t{o}\t{payload.decode(errors='replace')}", file=out)
         try:
-            c.commit()
+            if records:
+                c.commit()
         except LogError as e:
             if e.name != "STALE_GENERATION":
                 raise
@@ -76,10 +95,11 @@ def run(spark, argv: list[str], stdin=sys.stdin, out=sys.stdout) -> int:
             for name, n in Admin(broker).topics():
                 print(f"{name}\t{n}", file=out)
         elif a.command == "produce":
-            lines = [a.message] if a.message else [x.rstrip("\n") for x in stdin]
-            rows = spark.createDataFrame([(a.partition, bytearray(x.encode()), i) for i, x in enumerate(lines)], "partition int, payload binary, n int")
-            for r in broker.store.append(S.check_name(a.topic), rows, ["n"]).orderBy("offset").toLocalIterator():
-                print(r.offset, file=out)
+            lines = iter([a.message]) if a.message else _lines(stdin)
+            while batch := list(islice(lines, LINES_AT_ONCE)):
+                rows = spark.createDataFrame([(a.partition, bytearray(x.encode()), i) for i, x in enumerate(batch)], "partition int, payload binary, n int")
+                for r in broker.store.append(S.check_name(a.topic), rows, ["n"]).orderBy("offset").toLocalIterator():
+                    print(r.offset, file=out)
         elif a.group:
             _group(broker, a, out)
         else:

@@ -58,7 +58,7 @@ class _Body:
 
     def take(self, n: int) -> bytes:
         if n > len(self.data) - self.at:
-            raise LogError("MALFORMED", "truncated message body")
+            raise LogError("MALFORMED", "the body ends inside a field")
         self.at += n
         return self.data[self.at - n : self.at]
 
@@ -84,7 +84,7 @@ def decode(name: str, data: bytes) -> dict:
     body = _Body(data)
     out = body.fields(MESSAGES[name][1])
     if body.at != len(data):
-        raise LogError("MALFORMED", "trailing bytes after message body")
+        raise LogError("MALFORMED", f"{len(data) - body.at} bytes too many")
     return out
 
 

@@ -4,12 +4,17 @@
     spark.readStream.format("tidelog").option("root", ...).option("topic", ...).load()
 
 A stream's position is the next offset of each partition. Only what the newest manifest acknowledges is read,
-by one task for each partition and batch of files; offsets prune row groups.
+by one task for each partition and batch of files whose range of offsets is wanted.
+
+With maxRecordsPerPartition a stream takes no more than so many records of a partition at once. Spark doesn't tell
+a source where a stream that starts again stands, so such a stream must have a `name`, under which each
+committed position is kept in <root>/_streams; it is at most one batch behind Spark's own.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +38,27 @@ class _Log:
         root = options["root"]
         self.files, path = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
         self.at = f"{path.rstrip('/')}/{self.topic}"
-        self.most = int(options.get("maxRecordsPerPartition", 0))
+        self.most = int(options.get("maxrecordsperpartition", 0))
+        self.positions = f"{path.rstrip('/')}/_streams/{options['name']}.{self.topic}.json" if "name" in options else None
+        if self.most and not self.positions:
+            raise ValueError("maxRecordsPerPartition needs a name")
+
+    def position(self) -> list[int] | None:
+        from pyarrow import fs
+
+        if self.positions is None or self.files.get_file_info(self.positions).type == fs.FileType.NotFound:
+            return None
+        with self.files.open_input_stream(self.positions) as f:
+            return json.loads(f.read())
+
+    def keep_position(self, following: list[int]) -> None:
+        if self.positions:
+            folder, _, name = self.positions.rpartition("/")
+            self.files.create_dir(folder, recursive=True)
+            temp = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            with self.files.open_output_stream(temp) as f:
+                f.write(json.dumps(following).encode())
+            self.files.move(temp, self.positions)
 
     def manifest(self) -> dict:
         from pyarrow import fs
@@ -43,16 +68,12 @@ class _Log:
             return json.loads(f.read())
 
     def slices(self, start: list[int], end: list[int]) -> list[Slice]:
-        from pyarrow import fs
-
-        out = []
-        for batch in self.manifest()["batches"]:
-            for f in self.files.get_file_info(fs.FileSelector(f"{self.at}/data/{batch}")):
-                if f.base_name.startswith("partition="):
-                    p = int(f.base_name.removeprefix("partition="))
-                    if start[p] < end[p]:
-                        out.append(Slice(f.path, p, start[p], end[p]))
-        return out
+        return [
+            Slice(f"{self.at}/data/{b['name']}/partition={p}", int(p), max(lo, start[int(p)]), min(hi, end[int(p)]))
+            for b in self.manifest()["batches"]
+            for p, (lo, hi, _) in b["parts"].items()
+            if max(lo, start[int(p)]) < min(hi, end[int(p)])
+        ]
 
     def read(self, s: Slice) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
@@ -65,7 +86,7 @@ class _Log:
 
 class _Batch(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = {k.lower(): v for k, v in options.items()}
 
     def partitions(self) -> list[Slice]:
         log = _Log(self.options)
@@ -78,21 +99,23 @@ class _Batch(DataSourceReader):
 
 class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = {k.lower(): v for k, v in options.items()}
         self.last: list[int] | None = None
 
     def initialOffset(self) -> dict:
         n = len(_Log(self.options).manifest()["next"])
         start = json.loads(self.options.get("start", "{}"))
         self.last = [int(start.get(str(p), 0)) for p in range(n)]
+        _Log(self.options).keep_position(self.last)
         return {"next": self.last}
 
     def latestOffset(self) -> dict:
-        """The frontier; with maxRecordsPerPartition, no farther than so many records on."""
+        """The frontier; with maxRecordsPerPartition, no farther than so many records past the last offer or,
+        in a stream that starts again, past the last committed position."""
         log = _Log(self.options)
         end = log.manifest()["next"]
         if log.most:
-            before = self.last or [0] * len(end)
+            before = self.last or log.position() or [0] * len(end)
             end = [min(e, b + log.most) for e, b in zip(end, before, strict=True)]
         self.last = end
         return {"next": end}
@@ -105,7 +128,7 @@ class _Stream(DataSourceStreamReader):
         return _Log(self.options).read(partition)
 
     def commit(self, end: dict) -> None:
-        pass
+        _Log(self.options).keep_position(end["next"])
 
 
 class TideLog(DataSource):
