@@ -1,6 +1,7 @@
 """Budgets, assignment, the coordinator, codecs, imports and reports against plain models."""
 
 import random
+import subprocess
 
 import pytest
 from hypothesis import given, settings
@@ -141,7 +142,19 @@ def test_report_round_trip(tmp_path):
     assert its[0]["ack_p50_ms"] == 2.0 and its[0]["ack_p99_ms"] == 4.0 and its[1]["e2e_p99_ms"] == 0.0
     with pytest.raises(ValueError):
         report.build("t", "", its)
-    r = report.build("t", "a box", its, root=str(__import__("pathlib").Path(__file__).parent.parent), caveats=["closed loop"])
+    root = tmp_path / "measured"
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@localhost", *a], check=True, capture_output=True)
+    root.mkdir()
+    git("init", "-q")
+    with pytest.raises(RuntimeError):
+        report.build("t", "a box", its, root=str(root))
+    (root / "f").write_text("1")
+    git("add", "f")
+    git("commit", "-qm", "one")
+    r = report.build("t", "a box", its, root=str(root), caveats=["closed loop"])
+    assert len(r["commit"]) == 12
+    (root / "f").write_text("2")
+    assert report.provenance(str(root)) == r["commit"] + "-dirty"
     path = report.write(r, str(tmp_path))
     assert path.name == report.file_name(r)
     section = report.render(__import__("json").loads(path.read_text()))
