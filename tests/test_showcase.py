@@ -10,7 +10,10 @@ from tidelog.client import Broker
 
 
 def test_settings():
-    assert [showcase.cap_setting(x) for x in ("", "garbage", "12.5", "-3", "0", "200", "50", "1", None)] == [200, 200, 200, 200, 200, 200, 50, 1, 200]
+    good = {"7": 7, "64": 64, "1048576": 1 << 20}
+    bad = ("1048577", "-8", "00", " 9", "3e2", "1_000", "64MB", "9" * 30, "", None)
+    assert {x: showcase.cap_setting(x) for x in (*good, *bad)} == good | dict.fromkeys(bad, 200)
+    assert showcase.Feeder.__init__.__defaults__[0] == 200 * 1024 * 1024
 
 
 def test_feed(spark, tmp_path):

@@ -43,7 +43,7 @@ def create_code(name: Column, partitions: Column, exists: Column, topics: Column
     )
 
 
-def env_int(value: Column, default: int, least: int = 1, most: int = 2**31 - 1) -> Column:
+def env_int(value: Column, default: int, least: int = 1, most: int = 1 << 20) -> Column:
     """A whole number from a setting's text, or the default where it is missing, no number or out of bounds."""
     n = F.when(value.rlike(r"\A[+-]?[0-9]{1,18}\z"), F.try_to_number(value, F.lit("S999999999999999999"))).cast("bigint")
     return F.when(n.between(least, most), n).otherwise(F.lit(default).cast("bigint"))

@@ -362,10 +362,14 @@ def feed_snapshot(spark, sf_dir):
     return snap.select("produced", offsets.cast("bigint").alias("offsets"), F.array_max("recent")["event_id"].alias("latest"), F.size("recent").cast("bigint").alias("recent"))
 
 
-@query("""SELECT l_orderkey, CASE WHEN l_partkey < 1024 THEN l_partkey || ' B' WHEN l_partkey < 1048576 THEN format('{:.1f} KB', round(l_partkey / 1024, 1)) ELSE 'large' END AS size,
-CASE WHEN l_orderkey >= 3600 THEN (l_orderkey // 3600) || 'h ' || (l_orderkey // 60 % 60) || 'm' WHEN l_orderkey >= 60 THEN (l_orderkey // 60) || 'm ' || (l_orderkey % 60) || 's' ELSE l_orderkey || 's' END AS up FROM lineitem""")
+@query("""WITH s AS (SELECT l_orderkey, l_partkey, l_linenumber, l_partkey * CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 1024 WHEN 3 THEN 1048576 ELSE 64 END AS n FROM lineitem)
+SELECT l_orderkey, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:.1f} KB', floor(n * 10 / 1024 + 0.5) / 10) WHEN n < 1073741824 THEN format('{:.1f} MB', floor(n * 10 / 1048576 + 0.5) / 10) ELSE format('{:.2f} GB', floor(n * 100 / 1073741824 + 0.5) / 100) END AS size,
+CASE WHEN l_orderkey >= 3600 THEN (l_orderkey // 3600) || 'h ' || (l_orderkey // 60 % 60) || 'm' WHEN l_orderkey >= 60 THEN (l_orderkey // 60) || 'm ' || (l_orderkey % 60) || 's' ELSE l_orderkey || 's' END AS up FROM s""")
 def display_formats(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", A.human_bytes(F.col("l_partkey")).alias("size"), A.uptime(F.col("l_orderkey")).alias("up"))
+    """Sizes from bytes to GB: part keys times a factor by line."""
+    times = F.element_at(F.array(*[F.lit(x) for x in (1, 1024, 1 << 20, 64, 64, 64, 64)]), F.col("l_linenumber"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_partkey") * times.cast("bigint"))
+    return rows.select("l_orderkey", "n", A.human_bytes(F.col("n")).alias("size"), A.uptime(F.col("l_orderkey")).alias("up"))
 
 
 # --- audits ------------------------------------------------------------------------------------------------
@@ -430,10 +434,14 @@ def fetch_validation(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", code.cast("bigint").alias("code"))
 
 
-@query("""WITH v(raw) AS (VALUES (''), ('garbage'), ('12.5'), ('-3'), ('0'), ('200'), ('50'), ('1'), (NULL))
-SELECT raw, CAST(CASE WHEN regexp_full_match(raw, '[+-]?[0-9]{1,18}') AND TRY_CAST(raw AS BIGINT) >= 1 THEN TRY_CAST(raw AS BIGINT) ELSE 200 END AS BIGINT) AS cap FROM v""")
+RAW_SETTINGS = ("7", "+64", "1048576", "1048577", "-8", "00", " 9", "3e2", "0x10", "64MB", "9999999999999999999", "", None)
+RAW_ROWS = ", ".join("(NULL)" if x is None else f"('{x}')" for x in RAW_SETTINGS)
+
+
+@query(f"""WITH v(raw) AS (VALUES {RAW_ROWS})
+SELECT raw, CAST(CASE WHEN regexp_full_match(raw, '[+-]?[0-9]{{1,18}}') AND TRY_CAST(raw AS BIGINT) BETWEEN 1 AND 1048576 THEN TRY_CAST(raw AS BIGINT) ELSE 200 END AS BIGINT) AS cap FROM v""")
 def env_settings(spark, sf_dir):
-    raw = spark.createDataFrame([(x,) for x in ("", "garbage", "12.5", "-3", "0", "200", "50", "1", None)], "raw string")
+    raw = spark.createDataFrame([(x,) for x in RAW_SETTINGS], "raw string")
     return raw.select("raw", validate.env_int(F.col("raw"), 200).alias("cap"))
 
 

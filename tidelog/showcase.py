@@ -15,23 +15,24 @@ from tidelog.schema import LogError
 
 TOPIC, GROUP, PARTITIONS = "feed", "showcase", 4
 LIVE, PAUSED = "live", "paused-at-cap"
-DEFAULT_CAP_MB = 200
+# The cap in MiB where the setting names none, and the largest that it may name.
+DEFAULT_CAP_MB, MOST_CAP_MB = 200, 1 << 20
 
 
 def cap_setting(raw: str | None, default: int = DEFAULT_CAP_MB) -> int:
-    """A positive whole number of MB from a setting's text; anything else is the default."""
+    """A positive whole number of MiB, up to MOST_CAP_MB, from a setting's text; anything else is the default."""
     try:
         n = int(raw or "")
     except ValueError:
         return default
-    return n if n > 0 and raw.strip() == raw else default
+    return n if 0 < n <= MOST_CAP_MB and raw.strip() == raw and "_" not in raw else default
 
 
 class Feeder:
     """Three steps that the caller repeats: produce, consume, walk. A full disk or a refused write pauses
     producing for good; reading goes on."""
 
-    def __init__(self, broker: Broker, cap_bytes: int = DEFAULT_CAP_MB * 1_000_000, now: Callable[[], datetime] = lambda: datetime.now(UTC)):
+    def __init__(self, broker: Broker, cap_bytes: int = DEFAULT_CAP_MB << 20, now: Callable[[], datetime] = lambda: datetime.now(UTC)):
         self.broker, self.cap, self.now = broker, cap_bytes, now
         if TOPIC not in broker.store.topics_by_name:
             Admin(broker).create_topic(TOPIC, PARTITIONS)
@@ -69,6 +70,7 @@ class Feeder:
 
     def snapshot(self) -> dict:
         """The ten fields of the feed; lists are never null."""
+        # The fields' names and order.
         return {
             "status": PAUSED if self.paused else LIVE,
             "uptimeSeconds": int((self.now() - self.started).total_seconds()),
