@@ -117,7 +117,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     modest_batches(docs.sparkSession)
     order = F.col("doc_id").desc_nulls_last()
-    dealt = text.repartitionByRange(partitions(spark), order).sortWithinPartitions(order, "text")
+    total = text.agg(F.sum(F.octet_length("text"))).first()[0]
+    dealt = text.repartitionByRange(partitions(spark, total or 0), order).sortWithinPartitions(order, "text")
     made = materialise(dealt.mapInArrow(_neighbours, COLUMNS + ", kind int, part int, text string"), "fingerprints")
     along = Window.orderBy("part", F.desc("kind"))  # two rows for each partition: its head, its tail
     ends = made.where(F.col("kind") != DONE).select("doc_id", "fingerprint", "kind", "part", "text")

@@ -177,7 +177,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     A null text, or one without a letter, is `und`, score 0, and rejected; so is everything without a model.
     lang_pred is else always a learned language: rejected says that the text's cosine is below NEAR of what is
-    typical of that language for as many different n-grams. A null id isn't held out. Other columns are not read.
+    typical of that language for as many different n-grams. A null id isn't held out; of languages that are as
+    near the first by name is taken; repeated rows get equal results, an empty table none. Other columns are not
+    read.
     """
     modest_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)

@@ -308,7 +308,7 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, with_ids: b
     made = materialise(text.mapInArrow(_pieces(vocabulary, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>"), "pieces")
     histogram = {r[0]: r[1] for r in made.groupBy("length").count().collect()}  # CAPACITY rows at most
     segments, _ = plan(histogram)
-    n = partitions(spark)
+    n = partitions(spark, 64 * sum(histogram.values()))
     dealt = made.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
     before = dealt.groupBy("length", "_b").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     ranked = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece"))).join(before, ["length", "_b"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.language_id import held_out
+from tidelog.llm.scratch import modest_batches
 
 #: Labelled documents to learn from for each class, about; more are sampled by a hash of the id.
 PER_CLASS = 1200
@@ -79,7 +80,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model | None:
     """Learns from labelled rows outside the held-out quarter, about per_class of either class, chosen by a
-    hash of the id; half of them build the dictionaries, half the curve; a class's only document does both. None if a class
+    hash of the id (of several labels of one id the larger one counts; labels without a document count nothing); half of them build the dictionaries, half the curve; a class's only document does both. None if a class
     has no document with a text."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1)")
     known = known.where(F.coalesce(~held_out(F.col("_id")), F.lit(False))).groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -106,7 +107,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """(doc_id, held_out, score, predicted) for each row of docs, from whole texts alone.
 
     Null and empty texts get the score of no evidence; without a model every score is 0.5. Every row is
-    scored on its own; a null id isn't held out. Other columns are not read.
+    scored on its own, repeated ones alike; a null id isn't held out; an empty table gives no rows. Other columns
+    are not read.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -119,5 +121,6 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             s = 1 / (1 + np.exp(-np.clip(w * x + c, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_SHIPPED: set[str] = set()
+#: Folders that are still there, and the session that made each.
+_LEFT: dict[str, SparkSession] = {}
+#: More partitions than a driver can keep count of help nobody.
+MOST_PARTITIONS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the session names one; a temporary folder otherwise (tests, local mode)."""
+    """spark.checkpoint.dir where the session names one; in local mode a temporary folder otherwise. On a
+    cluster there is no folder that all machines share unless the session names it."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that {master} shares")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="tidelog-")
@@ -33,44 +37,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _forget_later(spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch_path = path
+    _LEFT[path] = spark
+    return out
 
 
-def _forget_later(spark: SparkSession, path: str) -> None:
-    def drop() -> None:
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that materialise made and that nothing reads any more."""
+    path = df._scratch_path
+    spark = _LEFT.pop(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path, spark in list(_LEFT.items()):
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # the session may be gone already; the folder is the cluster's to clear then
-            pass
-
-    atexit.register(drop)
+            return
 
 
 def partitions(spark: SparkSession, total_bytes: int = 0, bytes_each: int = 16 << 20) -> int:
     """Partitions for an exchange: the session's setting, or more where total_bytes asks for it."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // bytes_each))
+    wanted = min(-(-int(total_bytes) // bytes_each), MOST_PARTITIONS)
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 
 def modest_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of whole texts: fewer rows than Spark's default of 10,000, unless the session says how many."""
+    """Arrow batches of whole texts: fewer rows than Spark's default of 10,000, unless the session says how many.
+    The setting stays, as Spark reads it only when the plan runs."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors' Python where they wouldn't find it by PYTHONPATH or working folder."""
-    root = Path(__file__).resolve().parents[2]
-    named = {str(Path(p or ".").resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)}
-    app = spark.sparkContext.applicationId
-    if str(root) in named or Path.cwd() == root or app in _SHIPPED:
-        return
-    _SHIPPED.add(app)
-    at = Path(tempfile.mkdtemp(prefix="tidelog-")) / "tidelog.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for f in (root / "tidelog").rglob("*.py"):
-            z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(at))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.scratch import modest_batches
+
 #: Words whose counts a Python worker keeps; the store starts anew beyond.
 KEPT_WORDS = 500_000
 FAIL = -1
@@ -134,7 +136,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     the vocabulary has with a blank in front, later ones are those without. lone_blank=True, as in the query,
     lets the blank piece alone begin a word (one piece) where no longer one fits, so that a vocabulary with
     all single bytes covers every word. A word that can't be covered is one piece. Null and empty texts have
-    none. Every row is counted on its own; other columns are not read.
+    none; an empty table gives no rows. Every row, repeated or not, is counted on its own, however long; other
+    columns are not read.
     """
     path = vocabulary or default_vocabulary()
 
@@ -149,5 +152,6 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
             words, pieces, longest = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(pieces, pa.int64()), pa.array(longest, pa.int64())], names=["doc_id", "n_words", "n_pieces", "longest"])
 
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_pieces long, longest long")
