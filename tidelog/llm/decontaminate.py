@@ -1,10 +1,11 @@
 """Operator 1 [native]: benchmark decontamination by a broadcast hash set of test n-grams.
 
 Test items and documents are normalised alike (A-Z lower-cased, words of letters, digits and non-ASCII
-characters). The items' windows of N words, hashed, form the hash set; a document's rolling windows are
-hashed and looked up in one broadcast join inside the scan, which then compares the words themselves, so
-equal hashes of different words don't count. Nothing but hits leaves the scan. A set of more than
-BROADCAST_BYTES isn't broadcast: the same join then shuffles.
+characters). The items' windows of N words form the hash set: an array of buckets, each with the few windows
+whose hash falls into it, that goes to the tasks as one value. Every rolling window of a document is looked up
+there inside its own row, from hashes of the words that are computed once; what is found is compared word by
+word. So neither texts nor windows leave the scan. A set of more than BROADCAST_BYTES isn't broadcast: windows
+are then joined by hash, and what matches meets its document again, where the words are compared.
 """
 
 from __future__ import annotations
@@ -14,25 +15,50 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.arrays import bind
 from tidelog.llm.scratch import materialise
 
 N = 8
-BROADCAST_BYTES = 64 << 20
-#: After lower-casing; and the same words in a text as it is.
+HITS = "array<struct<s:int,k:int,items:array<string>>>"
+BROADCAST_BYTES = 32 << 20
+#: Words and what is between them after lower-casing; and the same in a text as it is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
+    """What lies between separators: far cheaper than to extract the words, of which Spark copies the text."""
     lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.split(lowered, SEPARATOR), lambda x: x != ""), F.array().cast("array<string>"))
 
 
-def _windows(w: Column, k: int) -> Column:
-    """Hashes of all windows of k words; w is bound once, so that it isn't computed for each window."""
-    return F.transform(
-        F.array(w), lambda x: F.when(F.size(x) < k, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(x) - (k - 1)), lambda i: F.xxhash64(F.slice(x, i, k))))
-    )[0]
+def _paired(x: Column, y: Column, windows: Column, shift: int) -> Column:
+    """Hashes of the first of x with those of y from shift on, as many as there are windows."""
+    many = F.greatest(windows, F.lit(0))
+    return F.zip_with(F.slice(x, F.lit(1), many), F.slice(y, F.lit(shift + 1), many), lambda a, b: F.xxhash64(a, b))
+
+
+def _windows(w: Column, lengths: list[int], f) -> Column:
+    """f({k: hashes of all windows of k words of w, by their first word}), from the hashes of words by doubling:
+    a window's hash is that of its halves' hashes, or of its powers of two."""
+
+    def window(powers: dict[int, Column], k: int) -> Column:
+        parts = [1 << b for b in range(k.bit_length() - 1, -1, -1) if k >> b & 1]
+        out, done = powers[parts[0]], parts[0]
+        for part in parts[1:]:
+            out, done = _paired(out, powers[part], F.size(powers[1]) - (done + part - 1), done), done + part
+        return out
+
+    def grown(powers: dict[int, Column]) -> Column:
+        top = max(powers)
+        if 2 * top > max(lengths, default=1):
+            return f({k: window(powers, k) for k in lengths})
+        twice = _paired(powers[top], powers[top], F.size(powers[1]) - (2 * top - 1), top)
+        return bind(twice, lambda x: grown(powers | {2 * top: x}))
+
+    return bind(F.transform(w, lambda x: F.xxhash64(x)), lambda h: grown({1: h}))
 
 
 def grams(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -41,56 +67,90 @@ def grams(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text_col: s
     w = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col).cast("string")).alias("w")).where("item is not null and size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
     each = w.select("item", "w", F.explode(starts).alias("i")).select("item", F.slice("w", F.col("i"), n).alias("gram"))
-    return each.groupBy("gram").agg(F.collect_set("item").alias("items")).select(F.xxhash64("gram").alias("hash"), "gram", "items")
+    hashed = _windows(F.col("gram"), list(range(1, n + 1)), lambda windows: F.coalesce(*[F.when(F.size("gram") == k, windows[k][0]) for k in windows]))
+    return each.groupBy("gram").agg(F.collect_set("item").alias("items")).select(hashed.alias("hash"), "gram", "items")
+
+
+def _buckets(found: DataFrame, count: int) -> tuple[Column, int]:
+    """The hash set as one literal value, and its number of buckets: four or more for each window. (PySpark's own
+    lit builds arrays of arrays from one expression for each element, and a subquery can't stand in a lambda.)"""
+    buckets = 64
+    while buckets < 4 * count:
+        buckets *= 2
+    kept = found.select(F.col("hash").bitwiseAND(F.lit(buckets - 1)).alias("id"), F.struct("hash", "gram", "items").alias("g")).groupBy("id").agg(F.collect_list("g").alias("gs"))
+    every = found.sparkSession.range(buckets).join(kept, "id", "left").select("id", F.coalesce("gs", F.array().cast(kept.schema["gs"].dataType)).alias("gs"))
+    one = every.agg(F.array_sort(F.collect_list(F.struct("id", "gs"))).alias("all")).select(F.transform("all", lambda x: x["gs"]).alias("all"))
+    jvm = found.sparkSession.sparkContext._jvm
+    value = one._jdf.queryExecution().executedPlan().executeCollect()[0].getArray(0)
+    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(value, one._jdf.schema().apply(0).dataType())
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal)), buckets
+
+
+def _looked_up(rows: DataFrame, found: DataFrame, lengths: list[int], count: int) -> DataFrame:
+    """Adds _hits, (s, k, items) of each window that is in the set, inside the row."""
+    known, buckets = _buckets(found, count)
+
+    bucket = lambda x: F.get(known, x.bitwiseAND(F.lit(buckets - 1)).cast("int"))
+
+    def found_in(w: Column) -> Column:
+        return _windows(w, lengths, lambda windows: F.flatten(F.concat(F.array(F.array().cast(HITS)), *[of_length(w, x, k) for k, x in windows.items()])))
+
+    def of_length(w: Column, windows: Column, k: int) -> Column:
+        def at(x: Column) -> Column:
+            equal = F.filter(bucket(x["hash"]), lambda g: (g["hash"] == x["hash"]) & (g["gram"] == F.slice(w, x["s"] + 1, k)))
+            return F.transform(equal, lambda g: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), g["items"].alias("items")))
+
+        filled = F.transform(windows, lambda x, i: F.when(F.exists(bucket(x), lambda g: g["hash"] == x), F.struct(i.alias("s"), x.alias("hash"))))
+        return F.transform(F.filter(filled, lambda x: x.isNotNull()), at)
+
+    return _summed(rows, bind(F.col("_w"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), found_in(w).alias("hits"))))
+
+
+def _summed(rows: DataFrame, met: Column) -> DataFrame:
+    """doc_id, _carry, n_words, positions, items from a struct of n_words and hits. It is unfolded by a
+    generator, which keeps it from being computed anew for each use of its parts."""
+
+    def parts(m: Column) -> Column:
+        places = F.flatten(F.transform(m["hits"], lambda h: F.sequence(h["s"] + 1, h["s"] + h["k"])))
+        items = F.flatten(F.transform(m["hits"], lambda h: h["items"]))
+        return F.struct(m["n_words"].alias("n_words"), F.array_sort(F.array_distinct(places)).alias("positions"), F.array_sort(F.array_distinct(items)).alias("items"))
+
+    return rows.select("doc_id", "_carry", F.inline(F.array(bind(met, parts))))
+
+
+def _joined(rows: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same by a join on hashes. Rows are written first, so that their numbers stay what they are."""
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    each = rows.sparkSession.createDataFrame([], "_row long, k int, s int, hash long")
+    for k in lengths:
+        windows = _windows(F.col("_w"), [k], lambda found: next(iter(found.values())))
+        each = each.union(rows.select("_row", F.lit(k), F.posexplode(windows)))
+    met = each.join(found, "hash").where(F.col("k") == F.size("gram"))
+    by_row = met.groupBy("_row").agg(F.collect_list(F.struct("s", "k", "gram", "items")).alias("_met"))
+    equal = F.filter("_met", lambda m: m["gram"] == F.slice("_w", m["s"] + 1, m["k"]))
+    hits = F.transform(equal, lambda m: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["items"].alias("items")))
+    return _summed(rows.join(by_row, "_row", "left"), F.struct(F.size("_w").cast("long").alias("n_words"), F.coalesce(hits, F.array().cast(HITS)).alias("hits")))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: doc_id, the columns of carry, n_words, positions (from 1) of hit words, items.
 
-    carry columns come back as _carry struct. A row gets a number in the scan, so rows with equal or null
-    ids stay apart.
+    carry columns come back as _carry struct. Every row is judged on its own, whatever its id.
     """
     found = materialise(grams(benchmark, n), "grams")
     lengths = sorted((r[0] for r in found.select(F.size("gram")).distinct().collect()), reverse=True)  # n values at most
-    size = found.agg(F.sum(F.length(F.to_json("gram")) + F.length(F.to_json("items")) + 64)).first()[0] or 0
-    # one row that every document meets once, at place 0: documents without hits stay in an inner join
-    always = found.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hash"), F.lit(None).cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"))
-    known = found.union(always)
-    if size <= BROADCAST_BYTES:
-        known = F.broadcast(known)
-
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.struct(F.lit(1).alias("_"), *carry).alias("_carry"), words(F.col(text_col).cast("string")).alias("_w")
-    )
-    arrays = rows.select("_row", "doc_id", "_carry", "_w", F.concat(F.array(F.lit(0).cast("bigint")), *[_windows(F.col("_w"), k) for k in lengths]).alias("_h"))
-    each = arrays.select("_row", "doc_id", "_carry", "_w", F.posexplode("_h").alias("_at", "hash"))
-    start, length, before = F.lit(0), F.lit(0), F.lit(0)
-    for k in lengths:  # place in the joined arrays -> window length and first word
-        count = F.greatest(F.size("_w") - (k - 1), F.lit(0))
-        here = (F.col("_at") > before) & (F.col("_at") <= before + count)
-        start, length = F.when(here, F.col("_at") - before).otherwise(start), F.when(here, F.lit(k)).otherwise(length)
-        before = before + count
-    same = (each["hash"] == known["hash"]) & ((F.col("_at") == 0) == F.col("gram").isNull()) & (F.col("gram").isNull() | (F.slice("_w", F.greatest(start, F.lit(1)), F.greatest(length, F.lit(1))) == F.col("gram")))
-    met = each.join(known, same).select("_row", "doc_id", "_carry", F.size("_w").cast("long").alias("n_words"), F.when(F.col("_at") > 0, F.struct(start.alias("s"), length.alias("k"))).alias("hit"), "items")
-    return (
-        met.groupBy("_row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("_carry").alias("_carry"), F.first("n_words").alias("n_words"), F.collect_set("hit").alias("hit"), F.collect_set("items").alias("items"))
-        .select(
-            "doc_id",
-            "_carry",
-            "n_words",
-            F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda h: F.sequence(h["s"], h["s"] + h["k"] - 1))))).alias("positions"),
-            F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
-        )
-    )
+    size, count = found.agg(F.sum(F.length(F.to_json("gram")) + F.length(F.to_json("items")) + 64), F.count("*")).first()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(F.lit(1).alias("_"), *carry).alias("_carry"), words(F.col(text_col).cast("string")).alias("_w"))
+    return _looked_up(rows, found, lengths, count) if (size or 0) <= BROADCAST_BYTES else _joined(rows, found, lengths)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs.
 
-    Null and empty texts have no words, no hits, and the digest of an empty list. Rows with equal or null
-    ids are judged each on its own; repeated items count once; an empty benchmark hits nothing. Only the
-    id and text columns of either table are read, whatever the others are named.
+    Null and empty texts have no words, no hits, and the digest of an empty list; an empty table gives no rows.
+    Rows with equal or null ids, and repeated rows, are judged each on its own; repeated items count once; an
+    empty benchmark hits nothing. A text of any length is one row whose work grows with its words. Only the id
+    and text columns of either table are read, whatever the others are named.
     """
     return hits(docs, benchmark, n, (), id_col, text_col).select(
         "doc_id",
@@ -112,7 +172,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, least_items
     found = hits(docs, benchmark, n, tuple(f"`{c}`" for c in docs.columns), id_col, text_col).where(F.size("items") < least_items)
     found = found.where((F.size("positions") == 0) | (F.size("positions") < F.col("n_words")))
     text = F.col(f"_carry.`{text_col}`").cast("string")
-    found = found.withColumn("_sep", F.when(F.size("positions") > 0, F.split(text, ANY_CASE, -1))).withColumn("_word", F.when(F.size("positions") > 0, F.regexp_extract_all(text, F.lit(ANY_CASE), F.lit(0))))
+    found = found.withColumn("_sep", F.when(F.size("positions") > 0, F.split(text, ANY_CASE, -1))).withColumn("_word", F.when(F.size("positions") > 0, F.filter(F.split(text, BETWEEN), lambda x: x != "")))
     p = F.col("positions")
     firsts = F.array_sort(F.array_except(p, F.transform(p, lambda x: x + 1)))
     lasts = F.array_sort(F.array_except(p, F.transform(p, lambda x: x - 1)))
