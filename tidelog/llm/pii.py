@@ -6,8 +6,9 @@ codes) and the words just before. Expectation-maximisation over the counts of vo
 corpus estimates how reliable each labeler is; the resulting soft labels train a span classifier, which
 decides on the candidates. Base spans always stay.
 
-Everything that touches rows is DataFrame functions; the driver sees the pattern counts, of which there are
-at most 6 kinds * 3 lengths * 3**4 votes, however large the corpus is.
+Everything that touches rows is DataFrame functions inside the row: matches, places, votes and, in a second
+reading of what was found, decisions and redaction. Only counts of vote patterns are exchanged; the driver sees
+them, at most 6 kinds * 3 lengths * 3**4 votes, however large the corpus is.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.scratch import materialise, partitions
+from tidelog.llm.arrays import bind, blocks, running
+from tidelog.llm.scratch import materialise
 
 #: Kinds in the order in which spans that start together are listed. The first four are the base.
 KINDS = ("email", "ip", "card", "phone", "number", "secret")
@@ -34,14 +36,19 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+", "number": "", "secret": ""}
-# Gazetteers and context words.
+# Gazetteers and context words.
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "it", "uk", "eu", "us", "ca", "ch", "at", "nl", "be")
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"
 CALLING = r"^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 NEAR_YES = r"\b(?:e-?mail|mail|tel|telephone|phone|fax|mobile|cell|call|contact|whatsapp|card|visa|mastercard|amex|credit|iban|account|ssn|passport|ip|host|address|token|secret|key|apikey|password|passwd|telefon|handy|karte|konto|adresse|courriel|téléphone|carte|compte|correo|teléfono|tarjeta|cuenta)\b"
 NEAR_NO = r"\b(?:version|license|licence|section|chapter|page|figure|table|volume|isbn|issn|doi|year|article|kapitel|seite|jahr|chapitre|année|capítulo|página|año)\b"
 CONTEXT = 40
+#: Put around matches to cut them out; a text that holds it is cut by other means.
+MARK = "\ufdd0"
 LABELERS = ("pattern", "gazetteer", "context", "shape")
+ONE = f"struct<start:bigint,nth:int,kind:string,end:bigint,valid:boolean,long:int,{','.join(f'{v}:int' for v in LABELERS)}>"
+FOUND = f"array<{ONE}>"
+SPAN = "struct<start:bigint,nth:int,kind:string,end:bigint>"
 
 
 def _digits(c: Column) -> Column:
@@ -89,44 +96,53 @@ def _votes(kind: Column, match: Column, before: Column, valid: Column) -> dict[s
     }
 
 
-def _item(kind: str, as_type: str):
-    """One match with the gap before it. (A lambda with a second parameter would be given the place in the array.)"""
-    return lambda x: F.struct(
-        F.lit(kind).alias("kind"), x["i"].alias("nth"), F.length(x["g"]).cast("bigint").alias("gap"), F.length(x["m"]).cast("bigint").alias("size"), x["m"].alias("match"), F.lower(F.right(x["g"], F.lit(CONTEXT))).alias("before")
-    ).cast(as_type)
+def _parts(kind: str, text: Column) -> Column:
+    """What a text consists of by a kind's pattern: gap, match, gap, match, ..., gap."""
+    pattern = PATTERNS[kind]
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    otherwise = bind(F.struct(gaps.alias("g"), matches.alias("m")), lambda x: F.concat(F.flatten(F.zip_with(F.slice(x["g"], 1, F.size(x["m"])), x["m"], lambda g, m: F.array(g, m))), F.slice(x["g"], -1, 1)))
+    apart = F.when(text.contains(MARK), F.when(F.size(matches) > 0, otherwise).otherwise(F.array(text))).otherwise(marked)
+    return F.when(text.contains(HINTS[kind]), apart).otherwise(F.array(text)) if HINTS[kind] else apart
 
 
-def candidates(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document (kind null) and one for each match, with places, validity, votes, size.
+def _found(text: Column) -> Column:
+    """All kinds' matches as FOUND. A match's place is the length of all gaps and matches before it."""
+    kinds = F.array(*map(F.lit, KINDS))
 
-    A match's place is the length of all gaps and matches before it: the text is split by the pattern, and
-    the pieces are summed up. The columns of carry come back, as a struct, on the document's own row only.
-    """
+    def of_kind(parts: Column, k: Column) -> Column:
+        ends = running(F.transform(parts, lambda p: F.length(p).cast("bigint")), lambda a, b: a + b)
+        x = F.struct(parts.alias("parts"), ends.alias("ends"), (k + 1).alias("nth"), F.get(kinds, k).alias("kind"))
+        return F.when(F.size(parts) > 1, bind(x, matches)).otherwise(F.array().cast(FOUND))
+
+    def matches(x: Column) -> Column:
+        def one(i: Column) -> Column:
+            raw = F.struct(F.get(x["ends"], 2 * i).alias("start"), F.get(x["ends"], 2 * i + 1).alias("end"), F.get(x["parts"], 2 * i + 1).alias("match"), F.lower(F.right(F.get(x["parts"], 2 * i), F.lit(CONTEXT))).alias("before"))
+            return bind(raw, judged)
+
+        def judged(m: Column) -> Column:
+            return bind(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), m["before"].alias("before"), _valid(x["kind"], m["match"]).alias("valid")), voted)
+
+        def voted(m: Column) -> Column:
+            size = m["end"] - m["start"]
+            length = F.when(size < 12, 0).when(size < 24, 1).otherwise(2)
+            votes = _votes(x["kind"], m["match"], m["before"], m["valid"])
+            return F.struct(m["start"], x["nth"], x["kind"], m["end"], m["valid"], length, *votes.values()).cast(ONE)
+
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x["parts"]) - 3) / 2).cast("int")), one)
+
+    return F.flatten(F.transform(F.array(*[_parts(k, text) for k in KINDS]), of_kind))
+
+
+def found_in(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the columns of carry as _carry, and found: all matches, with places, validity, votes and size class."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    none = F.array().cast("array<string>")
-    arrays = []
-    for k in KINDS:
-        wanted = text.contains(HINTS[k]) if HINTS[k] else F.lit(True)
-        found = F.when(wanted, F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none)
-        arrays.append(found.alias(k))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.struct(F.lit(1).alias("_"), *carry).alias("_carry"), text.alias("_text"), *arrays)
-    item = "struct<kind:string,nth:int,gap:bigint,size:bigint,match:string,before:string>"
-    each = [F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).alias("nth"), F.lit(0).cast("bigint").alias("gap"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("string").alias("match"), F.lit(None).cast("string").alias("before")).cast(item))]
-    for k in KINDS:
-        gaps = F.when(F.size(k) > 0, F.split("_text", PATTERNS[k], -1)).otherwise(none)
-        nth = F.sequence(F.lit(1), F.greatest(F.size(k), F.lit(1)))
-        zipped = F.arrays_zip(F.col(k).alias("m"), F.slice(gaps, 1, F.size(k)).alias("g"), F.slice(nth, 1, F.size(k)).alias("i"))
-        one = F.transform(zipped, _item(k, item))
-        each.append(F.when(F.size(k) > 0, one).otherwise(F.array().cast(f"array<{item}>")))
-    out = rows.select("_row", "doc_id", "_carry", F.explode(F.concat(*each)).alias("x")).select("_row", "doc_id", F.when(F.col("x.kind").isNull(), F.col("_carry")).alias("_carry"), "x.*")
-    dealt = out.repartition(partitions(docs.sparkSession), "_row")
-    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("_row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
-    kind, match, before = F.col("kind"), F.col("match"), F.col("before")
-    placed = dealt.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).withColumn("valid", F.when(kind.isNotNull(), _valid(kind, match)))
-    votes = _votes(kind, match, before, F.col("valid"))
-    placed = placed.withColumns({v: F.when(kind.isNotNull(), c).cast("int") for v, c in votes.items()})
-    length = F.when(F.col("size") < 12, 0).when(F.col("size") < 24, 1).otherwise(2)
-    return placed.select("_row", "doc_id", "_carry", "kind", "start", "end", "valid", F.when(kind.isNotNull(), length).alias("long"), *LABELERS)
+    return docs.select(F.col(id_col).alias("doc_id"), F.struct(F.lit(1).alias("_"), *carry).alias("_carry"), _found(text).alias("found"))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each match."""
+    return found_in(docs, (), id_col, text_col).select("doc_id", F.inline("found"))
 
 
 @dataclass
@@ -172,18 +188,34 @@ def learn(patterns: list[tuple[str, int, tuple[int, ...], int]], rounds: int = 4
 
 
 def fit(found: DataFrame) -> Model | None:
-    rows = found.where(F.col("kind").isNotNull()).groupBy("kind", "long", *LABELERS).count().collect()
+    """found: a row for each match."""
+    rows = found.groupBy("kind", "long", *LABELERS).count().collect()
     patterns = sorted((r["kind"], r["long"], tuple(r[v] for v in LABELERS), r["count"]) for r in rows)
     return learn(patterns) if patterns else None
 
 
-def _chance(model: Model) -> Column:
-    z = F.lit(model.weights.get("bias", 0.0))
+def _chance(model: Model) -> str:
+    """SQL for the classifier's chance that the match m is personal."""
+    terms = [repr(model.weights.get("bias", 0.0))]
     for f, w in model.weights.items():
         name, _, value = f.partition(":")
         if value:
-            z = z + F.when(F.col(name) == (value if name == "kind" else int(value)), w).otherwise(0.0)
-    return 1 / (1 + F.exp(-z))
+            terms.append(f"CASE WHEN m.{name} = {repr(value) if name == 'kind' else int(value)} THEN {w!r}D ELSE 0D END")
+    return f"1 / (1 + exp(-({' + '.join(terms)})))"
+
+
+def _free(base: Column, loose: Column) -> Column:
+    """Spans of loose that meet none of base. All base spans that begin before a loose one's end are met first
+    in the common order, and the farthest end among them says whether one reaches into it."""
+    at = lambda flag, by, reach: lambda s: F.struct(s[by].alias("at"), F.lit(flag).alias("flag"), reach(s).alias("reach"), s.alias("span"))
+    order = F.array_sort(F.concat(F.transform(loose, at(0, "end", lambda s: F.lit(0).cast("bigint"))), F.transform(base, at(1, "start", lambda s: s["end"]))))
+
+    def kept(order: Column) -> Column:
+        reach = running(F.transform(order, lambda x: x["reach"]), F.greatest)
+        clear = F.zip_with(order, reach, lambda x, r: F.when((x["flag"] == 0) & (r <= x["span"]["start"]), x["span"]))
+        return F.filter(clear, lambda s: s.isNotNull())
+
+    return F.when((F.size(loose) == 0) | (F.size(base) == 0), loose).otherwise(bind(order, kept))
 
 
 def spans(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,24 +223,14 @@ def spans(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id",
 
     Added spans are candidates that the classifier takes for personal and that meet no base span.
     """
-    found = materialise(candidates(docs, carry, id_col, text_col), "spans")
-    model = fit(found)
-    base = F.coalesce(F.col("kind").isin(*KINDS[:4]) & F.col("valid"), F.lit(False))
-    taken = F.lit(False) if model is None else F.coalesce(F.col("kind").isin(*KINDS[4:]) & (_chance(model) >= 0.5), F.lit(False))
-    by_row = found.repartition(partitions(docs.sparkSession), "_row").withColumn("_base", base).withColumn("_taken", taken)
-    order = Window.partitionBy("_row").orderBy(F.col("start").asc_nulls_first(), F.desc("_base"))
-    before = F.max(F.when(F.col("_base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("_base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    free = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
-    marked = by_row.withColumn("_free", free)
-    nth = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    span = F.struct(F.col("start"), nth.alias("nth"), F.col("kind"), F.col("end"))
-    return marked.groupBy("_row").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"),
-        F.first("_carry", ignorenulls=True).alias("_carry"),
-        F.array_sort(F.collect_list(F.when(F.col("_base"), span))).alias("base"),
-        F.array_sort(F.collect_list(F.when(F.col("_taken") & F.col("_free"), span))).alias("added"),
-    )
+    found = materialise(found_in(docs, carry, id_col, text_col), "spans")
+    model = fit(found.select(F.inline("found")))
+    first, last = KINDS[:4], KINDS[4:]
+    span = "struct(m.start, m.nth, m.kind, m.end)"
+    base = F.expr(f"array_sort(transform(filter(found, m -> m.kind IN {first} AND m.valid), m -> {span}))")
+    loose = F.expr("slice(array(), 1, 0)" if model is None else f"transform(filter(found, m -> m.kind IN {last} AND {_chance(model)} >= 0.5), m -> {span})").cast(f"array<{SPAN}>")
+    both = bind(F.struct(base.alias("base"), loose.alias("loose")), lambda x: F.struct(x["base"].alias("base"), F.array_sort(_free(x["base"], x["loose"])).alias("added")))
+    return found.select("doc_id", "_carry", F.inline(F.array(both)))
 
 
 def _text(c: Column) -> Column:
@@ -219,8 +241,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs.
 
     Places are code points, ends exclusive. Null and empty texts have no spans: zeros, the digest of an empty
-    list, and an empty string. Rows with equal or null ids are looked at each on its own; an empty table
-    gives no rows. Only the id and text columns are read, whatever the others are named.
+    list, and an empty string. Rows with equal or null ids, and repeated rows, are looked at each on its own; of
+    spans that begin together the kind as listed decides the order; an empty table gives no rows. A text of any
+    length is one row; its work grows as its length and as its matches by the power of 1.5. Only the id and text columns are read, whatever the others are named.
     """
     found = spans(docs, (), id_col, text_col)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -231,17 +254,26 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with the same columns and rows; each span of the text, or run of spans that overlap, is replaced
     by its kind in brackets, as [EMAIL]. Null and empty texts, and texts without spans, stay as they are."""
-    found = spans(docs, tuple(f"`{c}`" for c in docs.columns), id_col, text_col).withColumn("_all", F.array_sort(F.concat("base", "added")))
+    found = spans(docs, tuple(f"`{c}`" for c in docs.columns), id_col, text_col)
     text = F.col(f"_carry.`{text_col}`").cast("string")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(done: Column, s: Column) -> Column:
-        gap = F.substring(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
-        grown = F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] >= done["at"], F.concat(done["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(done["out"]).alias("out"))
-        return grown
+    def cut(all_: Column) -> Column:
+        ends = running(F.transform(all_, lambda s: s["end"]), F.greatest)
+        before = F.concat(F.array(F.lit(0).cast("bigint")), ends)
+        runs = F.zip_with(all_, F.slice(before, F.lit(1), F.size(all_)), lambda s, b: F.when(s["start"] >= b, F.struct(b.alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))))
+        return bind(F.struct(F.filter(runs, lambda r: r.isNotNull()).alias("runs"), F.element_at(ends, -1).alias("end")), pieced)
+
+    def pieced(x: Column) -> Column:
+        """Each run's gap before it and its kind. Of a long text a block's part is cut out first."""
+        lines = F.flatten(F.transform(blocks(x["runs"]), lambda block: bind(F.struct(block.alias("runs"), part(block[0]["from"], F.element_at(block, -1)["to"]).alias("text"), block[0]["from"].alias("from")), line)))
+        return F.concat(F.array_join(lines, ""), part(x["end"], F.lit(1 << 31)))
+
+    def part(start: Column, end: Column) -> Column:
+        return F.substring(text, (start + 1).cast("int"), F.least(end - start, F.lit(1 << 30)).cast("int"))
 
-    def finish(done: Column) -> Column:
-        return F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    def line(block: Column) -> Column:
+        return F.transform(block["runs"], lambda r: F.concat(F.substring(block["text"], (r["from"] - block["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), F.lit("["), F.upper(r["kind"]), F.lit("]")))
 
-    cut = F.when(F.size("_all") == 0, text).otherwise(F.aggregate("_all", start, step, finish))
-    return found.select(*[(cut.cast(docs.schema[c].dataType) if c == text_col else F.col(f"_carry.`{c}`")).alias(c) for c in docs.columns])
+    spans_of = F.array_sort(F.concat("base", "added"))
+    new = F.when(F.size("base") + F.size("added") == 0, text).otherwise(bind(spans_of, cut))
+    return found.select(*[(new.cast(docs.schema[c].dataType) if c == text_col else F.col(f"_carry.`{c}`")).alias(c) for c in docs.columns])
