@@ -28,6 +28,8 @@ from tidelog.llm.components import connected_components
 from tidelog.llm.scratch import materialise, modest_batches, partitions
 
 K, MATCH, BLOCK = 32, 14, 1024
+#: Bits of the set of documents whose texts are read again: 32 MB at most.
+MOST_BITS = 1 << 28
 _MASKS = X.fmix(np.arange(101, 101 + K, dtype=np.uint64))
 _ODD = X.fmix(np.arange(301, 301 + K, dtype=np.uint64)) | np.uint64(1)
 
@@ -234,6 +236,20 @@ def _links(percent: int):
     return one
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose node may be among the wanted ones, by one bit set of 16 bits a node: few others pass, so that
+    few texts move. It never takes more than MOST_BITS; beyond that more rows pass, never fewer."""
+    bits = 1 << 12
+    while bits < min(16 * wanted.count(), MOST_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64("node", F.lit(23)), F.lit(bits))
+    words = wanted.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("word"))
+    every = wanted.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0).cast("bigint")).alias("word"))
+    kept = materialise(every.agg(F.array_sort(F.collect_list(F.struct("id", "word"))).alias("a")).select(F.col("a.word").alias("words")), "bits").scalar()
+    word = F.get(kept, F.shiftright(place, 6).cast("int"))
+    return rows.withColumn("_at", place).where(F.expr("_at IS NOT NULL")).where(word.bitwiseAND(F.expr("shiftleft(1L, CAST(_at % 64 AS INT))")) != 0).drop("_at")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -241,13 +257,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     shingles, or its whole sequence if it is shorter. Documents are linked where 100 * intersection >=
     percent * union; component_id is the smallest id reachable. Null and empty texts have no shingles and
     no links. Rows that share an id and a text are one document and get equal results; a null id is linked
-    to nothing, has a null component_id, and is kept. Other columns are not read, whatever their names.
+    to nothing, has a null component_id, and is kept. An empty table gives no rows. A text of any length is
+    one set. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     modest_batches(docs.sparkSession)
-    n = partitions(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(text.mapInArrow(_sign(shingle), SIGNED), "signed")
+    n = partitions(spark, 8 * (signed.agg(F.sum("n")).first()[0] or 0))
     full = signed.where("n > 0 and doc_id is not null")
     nodes = materialise(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
     tokens = nodes.select("node", "sig").mapInArrow(_explode_tokens, "token long, node long")
@@ -258,8 +275,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     spans = _by_group(_in_blocks(postings, "df", "node").select("token", "i", "j", "node", "n", "sig"), ("token", "i", "j"), _candidates(percent), n)
     groups = connected_components(spans, "candidates")
     sized = groups.join(groups.groupBy("label").agg(F.count("*").alias("csize")), "label").select("node", F.col("label").alias("comp"), "csize")
-    wanted = sized.join(nodes.select("node", "h1", "h2"), "node")
-    found = text.withColumnRenamed("doc_id", "node").join(wanted, "node").select("node", "text", "h1", "h2", "comp", "csize").mapInArrow(_sets(shingle), "node long, comp long, csize long, items binary")
+    wanted = materialise(sized.join(nodes.select("node", "h1", "h2"), "node"), "wanted")
+    found = _likely(text.withColumnRenamed("doc_id", "node"), wanted).join(wanted, "node").select("node", "text", "h1", "h2", "comp", "csize").mapInArrow(_sets(shingle), "node long, comp long, csize long, items binary")
     links = _by_group(_in_blocks(found, "csize", "node"), ("comp", "i", "j"), _links(percent), n)
     labels = connected_components(links, "links")
     names = nodes.join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("component_id"))
@@ -272,7 +289,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose document is linked to one with a smaller id, directly or over others."""
+    """docs without the rows whose document is linked to one with a smaller id, directly or over others. It
+    decides by id: of rows that share one all go if any of them is such a copy; null ids stay."""
     gone = near_duplicates(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
 
