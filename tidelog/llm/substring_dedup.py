@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import textops as X
-from tidelog.llm.scratch import materialise, modest_batches, partitions
+from tidelog.llm.scratch import MOST_PARTITIONS, materialise, modest_batches, partitions
 
 WINDOW, BLOCK = 13, 7
 #: Index size: bits for each block, most bits in all (256 MB), bits of one slice, and bits set for a block.
@@ -279,7 +279,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of anything but ASCII white space, unchanged. A word goes if a window of 13 words over it
     also starts in a document with a smaller id; windows are judged on the input. Null and empty texts have
-    no words. Rows that share an id never remove each other's words; a null id counts as the largest.
+    no words; an empty table gives no rows; a text of any length is one row. Rows that share an id, repeated
+    rows among them, never remove each other's words; a null id counts as the largest.
     Other columns are not read, whatever their names. with_text=False leaves kept_text null.
     """
     spark = docs.sparkSession
@@ -295,11 +296,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = spark.sparkContext.broadcast((once.tobytes(), more.tobytes()))
     keyed = text.select("doc_id", F.xxhash64("text", F.coalesce("doc_id", F.lit(0))).alias("_key"), "text")
     buckets = max(n, -(-total // (8 << 20)))
+    deal = min(buckets, MOST_PARTITIONS)
     asked = keyed.mapInArrow(_probe(index, slices, SLICE_BITS, 4 * n), ROW)
     found = materialise(asked.repartition(n, "part").mapInArrow(_confirm(buckets), ROW), "repeats")
     bucket = F.pmod(F.shiftrightunsigned("_key", 20), F.lit(buckets)).cast("int")
-    left = keyed.withColumn("part", bucket).groupBy("part")
-    right = found.select("part", "ids", "keys", "counts", "pos").groupBy("part")
+    left = keyed.withColumn("part", bucket).repartition(deal, "part").groupBy("part")
+    right = found.select("part", "ids", "keys", "counts", "pos").repartition(deal, "part").groupBy("part")
     out = left.cogroup(right).applyInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out
 
