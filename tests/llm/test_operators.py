@@ -2,6 +2,8 @@
 
 import bisect
 import hashlib
+import itertools
+import os
 import random
 import re
 import string
@@ -11,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, fingerprint, language_id, near_dedup, packing, pii, quality, queries, sharding, substring_dedup, textops, token_counts
+from tidelog.llm import arrays, decontaminate, fingerprint, language_id, near_dedup, packing, pii, quality, queries, scratch, sharding, substring_dedup, textops, token_counts
+from tidelog.llm import components
 from tidelog.llm.components import connected_components
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -171,6 +174,13 @@ def test_linked_parts_equal_all_pairs():
         assert near_dedup.linked_parts(sets, 80).tolist() == label
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 3)
+    edges = [(i, 1000) for i in range(50)] + [(1000, 1001), (1001, 1002)] + [(2000 + i, 1999) for i in range(10)] + [(2000, 3000), (3000, 2999)]
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys([*range(50), 1000, 1001, 1002], 0) | dict.fromkeys([*range(1999, 2010), 2999, 3000], 1999)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 200), (300, 200), (7, 7)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -578,7 +588,7 @@ def test_automaton_with_an_empty_initial_piece():
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 PII = [
-    "mail a.b@c.de and 😀 1.2.3.4.5.6.7.8, 300.1.1.1, 1.2.3.400", "x@y.z%q@r.s a@b.c@d.e @ a@b a@b. .@-.-", "4111 1111 1111 1111 4111-1111-1111-1111 4111111111111112", "+1 (017) 555-7713, 97.51.17.173 +1 2 +123456789012345678 ++49 30 1234567", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" version 2.0", "é1.1.1.1 0001.002.3.4", None, "", "5" * 3000 + " " + "a" * 3000 + "@b.co", "1." * 2000, "card 4111111111111111, call 0171 5550 1234", " 378282246310005 \n+44 20 7946 0958",
+    "mail a.b@c.de and 😀 1.2.3.4.5.6.7.8, 300.1.1.1, 1.2.3.400", "x@y.z%q@r.s a@b.c@d.e @ a@b a@b. .@-.-", "4111 1111 1111 1111 4111-1111-1111-1111 4111111111111112", "+1 (017) 555-7713, 97.51.17.173 +1 2 +123456789012345678 ++49 30 1234567", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" version 2.0", "é1.1.1.1 0001.002.3.4", None, "", "5" * 3000 + " " + "a" * 3000 + "@b.co", "1." * 2000, "card 4111111111111111, call 0171 5550 1234", " 378282246310005 \n+44 20 7946 0958", "a\ufdd0b@c.de \ufdd0 1.2.3.4 \ufdd0", "a@b.co " * 300 + "1.2.3.4",
 ]
 
 
@@ -626,6 +636,141 @@ def test_redaction(spark):
     assert not any(brute_spans(t) for t in texts.values())
 
 
+def plain_candidates(text):
+    """(start, end, kind, length class, votes) of every match, base ones by their plain patterns."""
+    out = []
+    for kind in pii.KINDS:
+        pattern = PLAIN.get(kind) or pii.PATTERNS[kind]
+        before = 0
+        for m in re.finditer(pattern, text or ""):
+            match, gap = m.group(), text[before : m.start()][-pii.CONTEXT :].lower()
+            before = m.end()
+            d = re.sub("[^0-9]", "", match)
+            valid = {"ip": lambda: all(int(x) <= 255 for x in match.split(".")), "card": lambda: 12 <= len(d) <= 19 and luhn(d), "phone": lambda: 9 <= len(d) <= 15}.get(kind, lambda: True)()
+            pattern_vote = (1 if valid else -1) if kind in pii.KINDS[:4] else (1 if 9 <= len(d) <= 19 else -1 if len(d) < 8 else 0) if kind == "number" else 1 if re.fullmatch("[0-9a-fA-F]{32,}", match) else -1 if not d else 0
+            gazetteer = {
+                "email": lambda: int(match.rsplit(".", 1)[-1].lower() in pii.DOMAINS),
+                "ip": lambda: -1 if re.match(r"0*(?:0|127|255)\.", match) else 1,
+                "phone": lambda: 1 if re.search(pii.CALLING, d) else -1,
+                "secret": lambda: 0,
+            }.get(kind, lambda: int(bool(re.search(pii.ISSUERS, d))))()
+            context = 1 if re.search(pii.NEAR_YES, gap, re.ASCII) else -1 if re.search(pii.NEAR_NO, gap, re.ASCII) else 0
+            if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]+(?:\.[0-9]+){1,2}", match):
+                shape = -1
+            elif kind == "secret":
+                shape = 1 if len(set(match)) >= 10 else -1 if len(set(match)) <= 5 else 0
+            else:
+                shape = -1 if kind in ("card", "number") and len(set(d)) <= 3 else 0
+            n = len(match)
+            out.append((m.start(), m.end(), kind, 0 if n < 12 else 1 if n < 24 else 2, (pattern_vote, gazetteer, context, shape), valid))
+    return out
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_chances(rows):
+    """EM over votes and a logistic classifier on its soft labels, on one row for each match, by numpy."""
+    votes = np.array([v for _, _, v in rows])
+    soft = 1 / (1 + np.exp(-1.5 * votes.sum(1)))
+    for _ in range(40):
+        prior = np.clip(soft.mean(), 0.01, 0.99)
+        odds = np.full(len(rows), np.log(prior / (1 - prior)))
+        for j in range(votes.shape[1]):
+            side = [np.array([4.0, 2.0, 1.0]), np.array([1.0, 2.0, 4.0])]
+            for x in (-1, 0, 1):
+                at = votes[:, j] == x
+                side[0][x + 1] += (1 - soft[at]).sum()
+                side[1][x + 1] += soft[at].sum()
+            rate = np.log(side[1] / side[1].sum()) - np.log(side[0] / side[0].sum())
+            odds += rate[votes[:, j] + 1]
+        soft = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    names = sorted({("kind", k) for k, _, _ in rows} | {("long", n) for _, n, _ in rows} | {(j, x) for _, _, v in rows for j, x in enumerate(v) if x}, key=str)
+    design = np.array([[1.0] + [float((k if a == "kind" else n if a == "long" else v[a]) == b) for a, b in names] for k, n, v in rows])
+    w = np.zeros(design.shape[1])
+    for _ in range(300):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        w -= 2.0 * (design.T @ (p - soft) / len(rows) + 1e-4 * w)
+    return 1 / (1 + np.exp(-design @ w))
+
+
+def test_added_spans_equal_a_plain_em(spark):
+    texts = [t for t in PII if not t or len(t) < 500]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    found = [(i, c) for i, t in enumerate(texts) for c in plain_candidates(t)]
+    chance = plain_chances([(c[2], c[3], c[4]) for _, c in found])
+    assert all(abs(p - 0.5) > 1e-6 for p in chance)
+    want = {i: [] for i in range(len(texts))}
+    base = {i: [(a, nth, k, e) for a, nth, k, e in brute_spans(t)] for i, t in enumerate(texts)}
+    for (i, (a, e, kind, _, _, _)), p in zip(found, chance, strict=True):
+        if kind in pii.KINDS[4:] and p >= 0.5 and not any(x < e and a < y for x, _, _, y in base[i]):
+            want[i].append((a, pii.KINDS.index(kind), kind, e))
+    assert sum(map(len, want.values())) > 5
+    got = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert r.spans == ",".join(f"{k}:{a}:{e}" for a, _, k, e in sorted(base[r.doc_id] + want[r.doc_id])), texts[r.doc_id]
+
+
+def test_running_folds(spark):
+    rng = random.Random(13)
+    rows = [(i, [rng.randrange(50) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 3, 4, 5, 9, 10, 17, 100, 1000])]
+    frame = spark.createDataFrame(rows, "i int, x array<bigint>")
+    got = frame.select("i", arrays.running(F.col("x"), lambda a, b: a + b).alias("s"), arrays.running(F.col("x"), F.greatest).alias("m"), F.flatten(arrays.blocks(F.col("x"))).alias("b")).collect()
+    for r in got:
+        x = rows[r.i][1]
+        assert r.s == list(itertools.accumulate(x)) and r.m == list(itertools.accumulate(x, max)) and r.b == x
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        conf = type("Unset", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_folder(Cluster)
+    table = scratch.materialise(spark.range(3), "three")
+    path = table._scratch_path
+    assert table.count() == 3 and os.path.exists(path)
+    scratch.discard(table)
+    assert not os.path.exists(path)
+
+
+def test_columns_that_clash_with_the_models(spark):
+    rng = random.Random(15)
+    rows = [(i, speak(rng, t := rng.choice(list(TONGUES)), 30), t) for i in range(200)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = ("_n", "_first", "_share", "_id", "_y", "score", "held_out", "quality", "cosine", "rejected")
+    clash = plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    labels = spark.createDataFrame([(i, int(t == "aa"), 0) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    wide = labels.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("_id", "_y", "text", "score"))])
+    for run in (lambda d, x: language_id.identify(d, language_id.fit(d)), lambda d, x: quality.score(d, quality.fit(d, x))):
+        assert bag(map(tuple, run(plain, labels).collect())) == bag(map(tuple, run(clash, wide).collect()))
+    assert sorted(r.doc_id for r in language_id.drop_rejected(clash, language_id.fit(clash)).collect()) == sorted(r.doc_id for r in language_id.drop_rejected(plain, language_id.fit(plain)).collect())
+
+
+def test_long_rows_are_counted_like_short_ones(spark):
+    initial, inner = map(set, token_counts.byte_level_pieces(token_counts.default_vocabulary(), lone_blank=True))
+    texts = ["a" * 5000, CORPUS[88][1] * 3, "é" * 4000 + " x " * 2000]
+    want = []
+    for i, t in enumerate(texts):
+        each = [greedy_bounded(w, initial, inner) for w in ws(t)]
+        want.append((i, len(each), sum(each), max(each)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert bag(map(tuple, token_counts.token_counts(frame, lone_blank=True).collect())) == bag(want)
+
+
+def greedy_bounded(word, initial, inner):
+    """Greedy pieces, no piece being longer than the longest of the vocabulary; the empty initial piece counts."""
+    longest = max(map(len, initial | inner))
+    n = at = 0
+    pieces = initial
+    while at < len(word):
+        size = next((s for s in range(min(longest, len(word) - at), -1, -1) if word[at : at + s] in pieces), None)
+        n, at, pieces = n + 1, at + size, inner
+    return n
+
+
 def test_shape_sees_the_whole_of_a_long_opaque_string(spark):
     texts = ["a" * 70 + "0123456789bcdefghij", "a" * 80 + "1", "0123456789bcdefghij" + "a" * 70]
     found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("kind = 'secret'")
