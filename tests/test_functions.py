@@ -204,3 +204,22 @@ def test_liveness_is_strict(spark):
     beats = spark.sql("SELECT 'g' AS grp, 'm' AS member, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, s) AS ts FROM VALUES (0), (2), (5) AS t(s)")
     got = group.sessions(beats, "2 SECONDS").orderBy("session").collect()
     assert [(r.first_beat.second, r.last_beat.second, r.dead_at.second) for r in got] == [(0, 2, 4), (5, 5, 7)]
+
+
+def test_offsets_by_blocks(spark, monkeypatch):
+    from tidelog.operators import append
+
+    monkeypatch.setattr(append, "BLOCK_BITS", 2)
+    rng = random.Random(6)
+    rows = [(rng.randrange(3), rng.choice([None, -5, -4, -1, 0, 3, 4, 100, 2**40]), i) for i in range(200)]
+    base = spark.createDataFrame([(1, 1000)], "partition int, next_offset bigint")
+    for order in (["a", "b"], ["c", "b"]):
+        frame = spark.createDataFrame([(*r, None if r[1] is None else f"{r[1] + 5:020}") for r in rows], "partition int, a bigint, b int, c string")
+        want = {}
+        for p in range(3):
+            own = sorted((r for r in rows if r[0] == p), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+            want |= {r[2]: i for i, r in enumerate(own)}
+        got = append.assign_offsets(frame, order)
+        assert {r.b: r.offset for r in got.collect()} == want and sorted(got.columns) == ["a", "b", "c", "offset", "partition"]
+        assert {r.b: r.offset for r in append.assign_offsets(frame, order, base).collect()} == {r[2]: want[r[2]] + 1000 * (r[0] == 1) for r in rows}
+    assert append.assign_offsets(frame.where("false"), ["a"]).count() == 0
