@@ -459,6 +459,11 @@ def message_strings(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("msg-"), i.cast("string")).alias("message"), append.round_robin(i, 4).cast("bigint").alias("target"))
 
 
-@query()
+CRC_TABLE = f"[{', '.join(map(str, checksum.TABLE.tolist()))}]"  # by the polynomial's rule, in functions/checksum.py
+
+
+@query(f"""WITH {LOG}, b AS (SELECT "partition", "offset", hex(encode(payload)) AS h FROM log),
+n AS (SELECT "partition", "offset", list_transform(range(1, CAST(len(h) AS BIGINT), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT)) AS x FROM b)
+SELECT "partition", "offset", xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), x), lambda c, y: xor(CAST({CRC_TABLE}[(xor(c, y) & 255) + 1] AS BIGINT), c >> 8)), CAST(4294967295 AS BIGINT)) AS crc32c FROM n""")
 def crc32c(spark, sf_dir):
     return event_log(spark, sf_dir).select(big("partition"), "offset", checksum.crc32c_column(F.col("payload")).alias("crc32c"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,7 +22,9 @@ def ship(spark: SparkSession) -> None:
     if str(ROOT) in named or Path.cwd() == ROOT or app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    at = Path(tempfile.mkdtemp(prefix="tidelog-")) / "tidelog.zip"
+    folder = tempfile.mkdtemp(prefix="tidelog-")  # the driver's own; Spark sends what is in it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = Path(folder) / "tidelog.zip"
     with zipfile.ZipFile(at, "w") as z:
         for f in (ROOT / "tidelog").rglob("*.py"):
             z.write(f, f.relative_to(ROOT))
