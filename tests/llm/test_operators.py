@@ -340,6 +340,18 @@ def test_sharding(docs, clashing, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_sharding_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(sharding.ORACLE).df()
+    got = queries.QUERIES["op4_sharding"](spark, "/root/testdata/sf0.001").toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda f: sorted(map(str, f[sorted(f.columns)].drop(columns="grown_shard").itertuples(index=False, name=None)))
+    assert rows(got) == rows(want) and got.grown_shard.isna().all()
+
+
 def test_a_text_of_half_of_all_rows_is_cut_evenly(spark):
     corpus = [(i, "hot text") for i in range(3000)] + [(i, f"text {i}") for i in range(3000, 6000)]
     sizes = check_shards(sharding.shard(spark.createDataFrame(corpus, "doc_id long, text string")).collect(), corpus, 16)
