@@ -223,3 +223,21 @@ def test_offsets_by_blocks(spark, monkeypatch):
         assert {r.b: r.offset for r in got.collect()} == want and sorted(got.columns) == ["a", "b", "c", "offset", "partition"]
         assert {r.b: r.offset for r in append.assign_offsets(frame, order, base).collect()} == {r[2]: want[r[2]] + 1000 * (r[0] == 1) for r in rows}
     assert append.assign_offsets(frame.where("false"), ["a"]).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.binary(max_size=12), max_size=12), st.integers(0, 400), st.integers(0, 255), st.integers(1, 5))
+def test_records_are_read_like_one_by_one(payloads, at, flip, at_once):
+    log = b"".join(map(B.record, payloads))
+    if at < len(log):
+        log = log[:at] + bytes([log[at] ^ flip]) + log[at + 1 :]
+    want, start = [], 0
+    while start < len(log):
+        size = int.from_bytes(log[start : start + 4], "big") if start + 8 <= len(log) else len(log)
+        payload = log[start + 8 : start + 8 + size]
+        if len(payload) < size or checksum.crc32c(payload) != int.from_bytes(log[start + 4 : start + 8], "big"):
+            want.append((start, None))
+            break
+        want.append((start, payload))
+        start += 8 + size
+    assert list(B._records(log, at_once)) == want

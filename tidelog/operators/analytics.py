@@ -74,16 +74,15 @@ def consumed_frontier(rows: DataFrame) -> DataFrame:
 
 def sticky_cap(samples: DataFrame, order: str, size: str, cap: int) -> DataFrame:
     """Paused from the first sample at or above the cap on, for good: one minimum decides for all samples."""
-    first = samples.where(F.col(size) >= cap).agg(F.min(order).alias("_first"))
-    return samples.join(F.broadcast(first)).withColumn("paused", F.coalesce(F.col(order) >= F.col("_first"), F.lit(False))).drop("_first")  # one row
+    first = samples.where(F.col(size) >= cap).agg(F.min(order)).scalar()
+    return samples.withColumn("paused", F.coalesce(F.col(order) >= first, F.lit(False)))
 
 
 def feed_snapshot(log: DataFrame, ring: DataFrame) -> DataFrame:
     """The snapshot's data as one row: produced, next offsets by partition, recent records, oldest first."""
     parts = consumed_frontier(log).agg(F.array_sort(F.collect_list(F.struct("partition", "next_offset"))).alias("partitions"))
-    total = log.agg(F.count("*").alias("produced"))
     recent = ring.agg(F.array_sort(F.collect_list(F.struct("event_id", "partition", "offset", "payload"))).alias("recent"))
-    return total.join(parts).join(recent)  # one row each
+    return log.agg(F.count("*").alias("produced")).select("produced", parts.scalar().alias("partitions"), recent.scalar().alias("recent"))
 
 
 def human_bytes(n: Column) -> Column:

@@ -196,4 +196,5 @@ def membership(control: DataFrame, partitions: int, timeout_ms: int = S.SESSION_
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUTCOME.split(", ")])
 
     events = control.selectExpr("grp", "seq", "CAST(unix_micros(CAST(ts AS TIMESTAMP)) DIV 1000 AS BIGINT) AS ms", "conn_id", "op", "generation")
-    return events.repartition("grp").sortWithinPartitions("grp", "seq").mapInPandas(run, OUTCOME)
+    n = int(control.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't joined into fewer tasks
+    return events.repartition(n, "grp").sortWithinPartitions("grp", "seq").mapInPandas(run, OUTCOME)
