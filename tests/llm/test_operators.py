@@ -3,6 +3,7 @@
 import bisect
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -376,6 +377,37 @@ def test_fingerprints(docs, clashing, nothing):
     assert one.near_next == 1.0 and one.n_chars == 1
 
 
+def plain_digest(data):
+    """The quartile digest by plain numbers, a triplet at a time."""
+    mask = 2**64 - 1
+
+    def mixed(x):
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+            x = (x ^ x >> shift) * factor & mask
+        return x
+
+    tables = [[mixed(256 * t + b + 1) % 256 for b in range(256)] for t in range(3)]
+    counts = [0] * 256
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        counts[tables[0][a] ^ tables[1][b] ^ tables[2][c]] += 1
+    quartiles = [sorted(counts)[k] for k in (63, 127, 191)]
+    codes = [sum(n > q for q in quartiles) for n in counts]
+    packed = bytes(codes[k] | codes[k + 1] << 2 | codes[k + 2] << 4 | codes[k + 3] << 6 for k in range(0, 256, 4))
+    return bytes([min(255, round(math.log(1 + len(data)) / math.log(1.1)))]).hex() + packed.hex(), codes, len(data)
+
+
+def test_digest_and_likeness_equal_plain_ones():
+    rng = random.Random(16)
+    datas = [(t or "").encode() for _, t in CORPUS[::4]] + [b"", b"ab", b"abc", bytes(rng.randrange(256) for _ in range(5000))]
+    plain = [plain_digest(d) for d in datas]
+    assert [fingerprint.digest(d) for d in datas] == [p[0] for p in plain]
+    for a in plain:
+        for b in plain[::3]:
+            steps = sum((0, 1, 2, 6)[abs(x - y)] for x, y in zip(a[1], b[1], strict=True))
+            lengths = abs(int(a[0][:2], 16) - int(b[0][:2], 16))
+            assert fingerprint.likeness(a[0], b[0]) == max(0.0, 1.0 - (steps + max(0, lengths - 2)) / (1.625 * 256))
+
+
 def test_likeness_is_bounded_and_orders(monkeypatch):
     rng = random.Random(2)
     v = vocabulary(rng)
