@@ -18,6 +18,7 @@ from tidelog.functions import checksum, validate
 from tidelog.operators import analytics as A
 from tidelog.operators import append, audit, group, scan
 from tidelog.operators.fold import membership
+from tidelog.schema import LogError
 from tidelog.sources.logs import conversation_log, event_log, lineitem_log, table
 from tidelog.sources.store import Store
 
@@ -248,13 +249,49 @@ def consumer_lag(spark, sf_dir):
     return group.lag(append.byte_frontier(event_log(spark, sf_dir)), group.committed(commit_log(spark, sf_dir)))
 
 
-@query()
+FOLD_TIMEOUT_MS = 12 * 3600 * 1000
+#: Member structs (id, connection, generation joined, last beat) travel from event to event of a group.
+FOLD = f"""
+WITH RECURSIVE control AS (
+  SELECT CAST(user_id % 10 AS VARCHAR) AS grp, event_id AS seq, CAST(epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS BIGINT) AS ms, CAST(user_id AS BIGINT) AS conn,
+    CASE event_type WHEN 'signup' THEN 'join' WHEN 'click' THEN 'heartbeat' WHEN 'view' THEN 'heartbeat' WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'leave' END AS op FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY seq) AS nth FROM control),
+step AS (
+  SELECT grp, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS member, CAST(0 AS BIGINT) AS generation, CAST(0 AS BIGINT) AS code,
+    CAST(NULL AS BOOLEAN) AS rejoin, CAST(0 AS BIGINT) AS swept, CAST(0 AS BIGINT) AS ids, CAST([] AS STRUCT(id VARCHAR, conn BIGINT, gen BIGINT, beat BIGINT)[]) AS members
+  FROM (SELECT DISTINCT grp FROM control)
+  UNION ALL
+  SELECT grp, nth, seq, op, member, generation, code, rejoin, swept, ids,
+    list_filter(list_transform(alive, lambda m: CASE WHEN code = 0 AND m.id = member AND op IN ('join', 'heartbeat', 'commit') THEN struct_pack(id := m.id, conn := m.conn, gen := CASE WHEN op = 'join' THEN generation ELSE m.gen END, beat := ms) ELSE m END), lambda m: NOT (op = 'leave' AND code = 0 AND m.id = member))
+      || CASE WHEN op = 'join' AND me IS NULL AND code = 0 THEN [struct_pack(id := member, conn := conn, gen := generation, beat := ms)] ELSE [] END
+  FROM (
+    SELECT grp, nth, seq, op, ms, conn, alive, me, swept, code,
+      CASE WHEN me IS NOT NULL THEN me.id WHEN op = 'join' AND code = 0 THEN 'm' || (ids + 1) END AS member,
+      gen + CASE WHEN code = 0 AND (op = 'leave' OR op = 'join' AND me IS NULL) THEN 1 ELSE 0 END AS generation,
+      CASE WHEN op = 'heartbeat' AND code = 0 THEN me.gen <> gen END AS rejoin,
+      ids + CASE WHEN op = 'join' AND me IS NULL AND code = 0 THEN 1 ELSE 0 END AS ids
+    FROM (
+      SELECT *, CASE WHEN op = 'join' THEN CASE WHEN me IS NULL AND len(alive) >= {S.MAX_MEMBERS} THEN {LogError('CAP_EXCEEDED').code} ELSE 0 END
+          WHEN me IS NULL THEN {LogError('UNKNOWN_MEMBER').code} WHEN op = 'commit' AND me.gen <> gen THEN {LogError('STALE_GENERATION').code} ELSE 0 END AS code
+      FROM (
+        SELECT *, list_filter(alive, lambda m: m.conn = x.conn)[1] AS me FROM (
+          SELECT e.grp, e.nth, e.seq, e.op, e.ms, e.conn, list_filter(s.members, lambda m: e.ms - m.beat <= {FOLD_TIMEOUT_MS}) AS alive,
+            CAST(len(s.members) - len(list_filter(s.members, lambda m: e.ms - m.beat <= {FOLD_TIMEOUT_MS})) AS BIGINT) AS swept, s.generation + len(s.members) - len(list_filter(s.members, lambda m: e.ms - m.beat <= {FOLD_TIMEOUT_MS})) AS gen, s.ids
+          FROM step s JOIN numbered e ON e.grp = s.grp AND e.nth = s.nth + 1) x)))),
+owned AS (SELECT *, len(members) AS n, list_position(list_sort(list_transform(members, lambda m: m.id)), member) - 1 AS i FROM step WHERE nth > 0)
+SELECT grp, seq, op, coalesce(member, '') AS member, generation, code, coalesce(rejoin, false) AS rejoin, swept,
+  CASE WHEN i IS NULL THEN '' ELSE array_to_string(list_transform(range(i * (4 // n) + least(i, 4 % n), (i + 1) * (4 // n) + least(i + 1, 4 % n)), lambda p: CAST(p AS VARCHAR)), ',') END AS owned
+FROM owned
+"""
+
+
+@query(FOLD)
 def membership_fold(spark, sf_dir):
     """The coordinator's state machine over control events: a row for each event with its outcome."""
     op = F.create_map(*[F.lit(x) for kv in (("signup", "join"), ("click", "heartbeat"), ("view", "heartbeat"), ("purchase", "commit"), ("error", "leave")) for x in kv])
     e = table(spark, sf_dir, "events")
     control = e.select((F.col("user_id") % 10).cast("string").alias("grp"), F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("conn_id"), op[F.col("event_type")].alias("op"), F.lit(None).cast("bigint").alias("generation"))
-    return membership(control, partitions=4, timeout_ms=12 * 3600 * 1000)
+    return membership(control, partitions=4, timeout_ms=FOLD_TIMEOUT_MS).fillna({"member": "", "rejoin": False})
 
 
 # --- analytics ---------------------------------------------------------------------------------------------
