@@ -377,6 +377,20 @@ def test_fingerprints(docs, clashing, nothing):
     assert one.near_next == 1.0 and one.n_chars == 1
 
 
+@pytest.mark.parametrize("name", ["op5_fingerprints", "op8_token_counts"])
+def test_query_equals_sql(spark, docs, tmp_path, name):
+    import duckdb
+
+    con = duckdb.connect()
+    made = str(tmp_path / "documents.parquet")
+    docs.select("doc_id", "text").write.parquet(made)  # nulls, ties, repeated rows, long words and texts
+    for root, files in (("/root/testdata/sf0.001", "/root/testdata/sf0.001/documents.parquet"), (str(tmp_path), f"{made}/*.parquet")):
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{files}'")
+        got = queries.QUERIES[name](spark, root)
+        want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+        assert bag(map(tuple, got.collect())) == bag(want) and want
+
+
 def plain_digest(data):
     """The quartile digest by plain numbers, a triplet at a time."""
     mask = 2**64 - 1

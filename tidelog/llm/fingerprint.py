@@ -125,3 +125,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ends = ends.withColumn("next", F.coalesce(F.lead("text").over(along), F.first("text").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     tails = ends.where(F.col("kind") == TAIL).select("doc_id", "text", "fingerprint", "next").mapInArrow(_ends, COLUMNS)
     return made.where(F.col("kind") == DONE).drop("kind", "part", "text").union(tails)
+
+
+_LISTS = _TABLES.tolist()
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS k, doc_id, coalesce(text, '') AS t FROM documents),
+e AS (SELECT *, length(t) AS n, coalesce(lead(t) OVER (ORDER BY k), first_value(t) OVER (ORDER BY k)) AS following, coalesce(lead(k) OVER (ORDER BY k), 1) AS next FROM d),
+x AS (SELECT k, 0 AS kind, t FROM e UNION ALL SELECT k, 1, left(t, n - n // 3) || left(following, n // 3) FROM e),
+b AS (SELECT k, kind, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda p: CAST('0x' || p AS INTEGER)) AS b FROM x),
+g AS (SELECT k, kind, unnest(list_transform(range(1, len(b) - 1), lambda i: xor(xor({_LISTS[0]}[b[i] + 1], {_LISTS[1]}[b[i + 1] + 1]), {_LISTS[2]}[b[i + 2] + 1]))) AS bucket FROM b),
+c AS (SELECT k, kind, bucket, count(*) AS n FROM g GROUP BY ALL),
+f AS (SELECT x.k, x.kind, list(coalesce(c.n, 0) ORDER BY r.bucket) AS counts FROM x CROSS JOIN (SELECT unnest(range(256)) AS bucket) r LEFT JOIN c ON c.k = x.k AND c.kind = x.kind AND c.bucket = r.bucket GROUP BY 1, 2),
+q AS (SELECT *, list_sort(counts) AS s FROM f),
+codes AS (SELECT k, kind, list_transform(counts, lambda v: CAST(v > s[64] AS INTEGER) + CAST(v > s[128] AS INTEGER) + CAST(v > s[192] AS INTEGER)) AS code FROM q),
+digests AS (SELECT k, kind, t, code, least(255, CAST(round(ln(1 + strlen(t)) / ln(1.1::DOUBLE)) AS INTEGER)) AS size FROM codes JOIN x USING (k, kind)),
+named AS (SELECT *, printf('%02x', size) || array_to_string(list_transform(range(0, 64), lambda j: printf('%02x', code[4 * j + 1] + 4 * code[4 * j + 2] + 16 * code[4 * j + 3] + 64 * code[4 * j + 4])), '') AS fingerprint FROM digests),
+pairs AS (SELECT e.doc_id, e.n, sha256(y.t) AS edited_sha256, o.fingerprint, y.fingerprint AS edited_fingerprint, o.code AS a, y.code AS b, z.code AS c, abs(o.size - y.size) AS to_edited, abs(o.size - z.size) AS to_next
+  FROM e JOIN named o ON o.k = e.k AND o.kind = 0 JOIN named y ON y.k = e.k AND y.kind = 1 JOIN named z ON z.k = e.next AND z.kind = 0)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(list_sum(list_transform(range(1, 257), lambda i: [0, 1, 2, 6][abs(a[i] - b[i]) + 1])) + greatest(0, to_edited - 2) AS DOUBLE) / {LIMIT}::DOUBLE) AS near_edited,
+  greatest(0.0::DOUBLE, 1.0::DOUBLE - CAST(list_sum(list_transform(range(1, 257), lambda i: [0, 1, 2, 6][abs(a[i] - c[i]) + 1])) + greatest(0, to_next - 2) AS DOUBLE) / {LIMIT}::DOUBLE) AS near_next
+FROM pairs
+"""

@@ -80,4 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 #: Where SQL on whole tables can express the query; the others are tested against brute-force versions.
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": decontaminate.ORACLE,
+    "op2_near_dedup": near_dedup.ORACLE,
+    "op5_fingerprints": fingerprint.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
+    "op8_token_counts": token_counts.oracle(token_counts.default_vocabulary()),
+}

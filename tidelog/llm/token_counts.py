@@ -155,3 +155,31 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_pieces long, longest long")
+
+
+def oracle(json_path: str) -> str:
+    """SQL for token_counts(lone_blank=True) over documents, with the pieces of the byte-level vocabulary at
+    json_path as hex digits; a word is cut with a blank in front of it."""
+    return f"""
+WITH RECURSIVE alphabet AS (
+  SELECT CASE WHEN own THEN chr(b) ELSE chr(255 + CAST(count(*) FILTER (NOT own) OVER (ORDER BY b) AS INTEGER)) END AS letter, printf('%02X', b) AS byte
+  FROM (SELECT CAST(b AS INTEGER) AS b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 AS own FROM range(256) r(b))),
+entries AS (SELECT unnest(json_keys(content, '$.model.vocab')) AS entry FROM read_text('{json_path}')),
+spelt AS (SELECT entry, unnest(string_split(entry, '')) AS letter, unnest(range(length(entry))) AS pos FROM entries),
+pieces AS (SELECT string_agg(byte, '' ORDER BY pos) AS piece FROM spelt LEFT JOIN alphabet USING (letter) GROUP BY entry HAVING count(*) = count(byte)),
+sizes AS (SELECT piece, strlen(piece) // 2 AS size FROM pieces WHERE piece <> ''),
+longest AS (SELECT max(size) AS most FROM sizes),
+d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+w AS (SELECT k, unnest(words) AS word FROM d),
+spaced AS (SELECT word, '20' || hex(encode(word)) AS bytes FROM (SELECT DISTINCT word FROM w)),
+cut AS (
+  SELECT word, bytes, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS n FROM spaced
+  UNION ALL
+  SELECT word, any_value(bytes), pos + max(size), any_value(n) + 1
+  FROM (SELECT c.*, unnest(range(1, least((SELECT most FROM longest), strlen(bytes) // 2 - pos) + 1)) AS length FROM cut c WHERE pos * 2 < strlen(bytes)) x
+  JOIN sizes ON piece = substring(bytes, 2 * pos + 1, 2 * length)
+  WHERE pos = 0 OR piece[1:2] <> '20' GROUP BY word, pos),
+counted AS (SELECT word, coalesce(max(n) FILTER (pos * 2 = strlen(bytes)), 1) AS n FROM cut GROUP BY word),
+sums AS (SELECT k, count(*) AS n_words, sum(n) AS n_pieces, max(n) AS longest FROM w JOIN counted USING (word) GROUP BY k)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_pieces, 0) AS BIGINT) AS n_pieces, coalesce(longest, 0) AS longest FROM d LEFT JOIN sums USING (k)
+"""
