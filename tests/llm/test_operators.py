@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidelog.llm import arrays, decontaminate, fingerprint, language_id, near_dedup, packing, pii, quality, queries, scratch, sharding, substring_dedup, textops, token_counts
@@ -460,6 +461,81 @@ def test_language(spark, docs, nothing):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Counts of hashed 1-, 2- and 3-grams of a text's bytes, a gram at a time."""
+    data = regex.sub(r"\PL+", " ", text.lower()).encode()
+    out = {}
+    for k in (1, 2, 3):
+        for i in range(len(data) - k + 1):
+            x = 0
+            for b in data[i : i + k]:
+                x = (x * 257 + b) & 0xFFFFFFFF
+            d = (x * 2654435761 + k * 40503 & 0xFFFFFFFF) >> 20
+            out[d] = out.get(d, 0) + 1
+    return out
+
+
+def plain_unit(v):
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {d: x / norm for d, x in v.items()} if norm else v
+
+
+def plain_cosine(a, b):
+    return sum(x * b.get(d, 0.0) for d, x in a.items())
+
+
+def plain_mean(vs):
+    out = {}
+    for v in vs:
+        for d, x in v.items():
+            out[d] = out.get(d, 0.0) + x / len(vs)
+    return plain_unit(out)
+
+
+def plain_centroids(vs, k, rounds):
+    """Spherical k-means from the mean and the farthest vectors."""
+    centres = [plain_mean(vs)]
+    while len(centres) < min(k, len(vs)):
+        centres.append(min(vs, key=lambda v: max(plain_cosine(v, c) for c in centres)))
+    for _ in range(rounds):
+        groups = [[] for _ in centres]
+        for v in vs:
+            groups[max(range(len(centres)), key=lambda i: plain_cosine(v, centres[i]))].append(v)
+        centres = [plain_mean(g) if g else c for g, c in zip(groups, centres, strict=True)]
+    return centres
+
+
+def test_language_equals_plain_centroids(spark):
+    rng = random.Random(21)
+    rows = [(i, speak(rng, t := rng.choice(list(TONGUES)), rng.randrange(3, 25)), t) for i in range(90)]
+    rows += [(200, None, "aa"), (201, "12 ... !", None), (202, "", None), (203, "Ünïcödé ПРИВЕТ 中国 der und", None), (204, "x", None), (205, speak(rng, "bb", 700), None), (3, "die und", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [(t, n) for i, t, n in rows if n and t and zlib.crc32(str(i).encode()) % 4 != 2]
+    grams = [plain_grams(t) for t, _ in learned]
+    df = {}
+    for g in grams:
+        for d in g:
+            df[d] = df.get(d, 0) + 1
+    idf = lambda d: math.log((1 + len(grams)) / (1 + df.get(d, 0))) + 1
+    vector = lambda g: plain_unit({d: math.sqrt(n) * idf(d) for d, n in g.items()})
+    centres = {n: plain_centroids([vector(g) for g, (_, m) in zip(grams, learned, strict=True) if m == n], 3, 12) for n in sorted(TONGUES)}
+    got = language_id.identify(frame, language_id.fit(frame)).collect()
+    by_row = {(r[0], i): r for i, r in enumerate(rows)}
+    assert len(got) == len(by_row)
+    want = []
+    for i, t, _ in rows:
+        if not t or not regex.search(r"\p{L}", t):
+            want.append((i, "und", 0.0, 0.0))
+            continue
+        v = vector(plain_grams(t))
+        each = {n: max(plain_cosine(v, c) for c in cs) for n, cs in centres.items()}
+        best = max(each, key=each.get)
+        want.append((i, best, 1 / sum(math.exp(25 * (x - each[best])) for x in each.values()), each[best]))
+    key = lambda x: (x[0], x[3])
+    for r, w in zip(sorted(((r.doc_id, r.lang_pred, r.score, r.cosine) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert r[:2] == w[:2] and r[2] == pytest.approx(w[2], abs=2e-4) and r[3] == pytest.approx(w[3], abs=1e-4)
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     rng = random.Random(11)
     ids = iter(i for i in range(5000) if zlib.crc32(str(i).encode()) % 4 != 2)
@@ -512,6 +588,45 @@ def test_quality(spark, docs, nothing):
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5} and quality.score(nothing, model).count() == 0
 
 
+def test_quality_equals_plain_compression(spark, docs):
+    import zstandard
+
+    rng = random.Random(22)
+    rows = [(i, speak(rng, "aa", rng.randrange(20, 90)) if i % 3 else " | ".join(speak(rng, "bb", 40).split())) for i in range(200)]
+    rows = [(i, "" if i == 10 else t) for i, t in rows]
+    labels = [(i, int(i % 3 > 0)) for i, _ in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int"))
+
+    def evidence(text):
+        data, saved = (text or "").encode(), 0
+        for side, sign in ((model.bad, 1), (model.good, -1)):
+            for lo in range(0, len(data), 512):
+                made = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(side), write_content_size=False, write_checksum=False, write_dict_id=False)
+                saved += sign * len(made.compress(data[lo : lo + 512]))
+        return saved / len(data) if data else 0.0
+
+    logistic = lambda x, w, c: 1 / (1 + math.exp(-max(-30.0, min(30.0, w * x + c))))
+    want = {}
+    for i, t in [*rows, *CORPUS]:
+        want.setdefault((i, t), logistic(evidence(t), *model.weights))
+    for part in (frame, docs):
+        got = [(r.doc_id, r.score, r.predicted) for r in quality.score(part, model).collect()]
+        expected = [(i, want[i, t]) for i, t in (rows if part is frame else CORPUS)]
+        key = lambda x: (x[0] is None, x[0] or 0, x[1])
+        for r, w in zip(sorted(got, key=key), sorted(expected, key=key), strict=True):
+            assert r[0] == w[0] and r[1] == pytest.approx(w[1], rel=1e-9) and r[2] == int(w[1] >= 0.7)
+
+
+def test_logistic_curve_is_where_the_gradient_vanishes():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(-0.02, 0.05, 200), rng.normal(0.04, 0.05, 400)])
+    y = np.concatenate([np.zeros(200), np.ones(400)])
+    w, c = quality._logistic(x, y)
+    off = y - 1 / (1 + np.exp(-(w * x + c)))
+    assert w > 0 and abs(off.sum()) < 1e-3 and abs((off * x).sum()) < 1e-3
+
+
 @pytest.mark.parametrize("good, bad", [(1, 1), (3, 1), (1, 3), (2, 3), (3, 3)])
 def test_quality_from_a_few_labels(spark, good, bad):
     rng = random.Random(12)
