@@ -363,14 +363,19 @@ def test_a_text_of_half_of_all_rows_is_cut_evenly(spark):
 # --- 5 -----------------------------------------------------------------------------------------------------
 
 
-def test_fingerprints(docs, clashing, nothing):
-    order = sorted(((i, t or "") for i, t in CORPUS), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+def brute_fingerprints(rows):
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     want = []
     for k, (i, t) in enumerate(order):
         n, following = len(t), order[(k + 1) % len(order)][1]
         edited = (t[: n - n // 3] + following[: n // 3]).encode()
         a, b, c = fingerprint.digest(t.encode()), fingerprint.digest(edited), fingerprint.digest(following.encode())
         want.append((i, n, hashlib.sha256(edited).hexdigest(), a, b, fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
+    return want
+
+
+def test_fingerprints(docs, clashing, nothing):
+    want = brute_fingerprints(CORPUS)
     for frame in (docs, clashing):
         assert bag(map(tuple, fingerprint.fingerprints(frame).collect())) == bag(want)
     assert fingerprint.fingerprints(nothing).count() == 0
@@ -378,6 +383,15 @@ def test_fingerprints(docs, clashing, nothing):
     assert one.near_next == 1.0 and one.n_chars == 1
 
 
+def test_fingerprints_over_many_ranges(spark, monkeypatch):
+    rng = random.Random(23)
+    v = vocabulary(rng)
+    rows = [(i, " ".join(rng.choice(v) for _ in range(rng.randrange(30)))) for i in [7] * 80 + [None] * 60 + list(range(40))] + [(7, "again")] * 5
+    monkeypatch.setattr(fingerprint, "partitions", lambda *_: 9)
+    out = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert bag(map(tuple, out.collect())) == bag(brute_fingerprints(rows))
+
+
 @pytest.mark.parametrize("name", ["op5_fingerprints", "op8_token_counts"])
 def test_query_equals_sql(spark, docs, tmp_path, name):
     import duckdb

@@ -111,20 +111,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts are empty. Null ids come last; rows with equal ids follow each other by text. A single
     document is its own next one; an empty table gives no rows. Other columns are not read.
 
-    Texts move once, dealt out by ranges of ids; of each range only the first and last text meet others.
+    Texts move once, dealt out by ranges of ids and, as an id may have many rows, of the texts' beginnings; of
+    each range only the first and last text move again, to meet their neighbours'.
     """
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     modest_batches(docs.sparkSession)
-    order = F.col("doc_id").desc_nulls_last()
+    order, beginning = F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 32)
     total = text.agg(F.sum(F.octet_length("text"))).first()[0]
-    dealt = text.repartitionByRange(partitions(spark, total or 0), order).sortWithinPartitions(order, "text")
+    dealt = text.repartitionByRange(partitions(spark, total or 0), order, beginning).sortWithinPartitions(order, "text")
     made = materialise(dealt.mapInArrow(_neighbours, COLUMNS + ", kind int, part int, text string"), "fingerprints")
-    along = Window.orderBy("part", F.desc("kind"))  # two rows for each partition: its head, its tail
-    ends = made.where(F.col("kind") != DONE).select("doc_id", "fingerprint", "kind", "part", "text")
-    ends = ends.withColumn("next", F.coalesce(F.lead("text").over(along), F.first("text").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    tails = ends.where(F.col("kind") == TAIL).select("doc_id", "text", "fingerprint", "next").mapInArrow(_ends, COLUMNS)
-    return made.where(F.col("kind") == DONE).drop("kind", "part", "text").union(tails)
+    heads = made.where(F.col("kind") == HEAD).select(F.col("part").alias("next_part"), F.col("text").alias("next"))
+    along = Window.orderBy("part")  # numbers only, one for each partition
+    after = heads.select(F.col("next_part").alias("part")).select("part", F.coalesce(F.lead("part").over(along), F.first("part").over(along)).alias("next_part"))
+    tails = made.where(F.col("kind") == TAIL).select("doc_id", "text", "fingerprint", "part").join(after, "part").join(heads, "next_part")
+    ends = tails.select("doc_id", "text", "fingerprint", "next").mapInArrow(_ends, COLUMNS)
+    return made.where(F.col("kind") == DONE).drop("kind", "part", "text").union(ends)
 
 
 _LISTS = _TABLES.tolist()
