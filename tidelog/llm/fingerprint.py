@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = made.where(F.col("kind") == HEAD).select(F.col("part").alias("next_part"), F.col("text").alias("next"))
     along = Window.orderBy("part")  # numbers only, one for each partition
     after = heads.select(F.col("next_part").alias("part")).select("part", F.coalesce(F.lead("part").over(along), F.first("part").over(along)).alias("next_part"))
-    tails = made.where(F.col("kind") == TAIL).select("doc_id", "text", "fingerprint", "part").join(after, "part").join(heads, "next_part")
+    tails = made.where(F.col("kind") == TAIL).select("doc_id", "text", "fingerprint", "part").join(after, "part").join(heads.hint("merge"), "next_part")
     ends = tails.select("doc_id", "text", "fingerprint", "next").mapInArrow(_ends, COLUMNS)
     return made.where(F.col("kind") == DONE).drop("kind", "part", "text").union(ends)
 
