@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     modest_batches(docs.sparkSession)
-    order, beginning = F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 32)
+    order, beginning = F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 8)
     total = text.agg(F.sum(F.octet_length("text"))).first()[0]
     dealt = text.repartitionByRange(partitions(spark, total or 0), order, beginning).sortWithinPartitions(order, "text")
     made = materialise(dealt.mapInArrow(_neighbours, COLUMNS + ", kind int, part int, text string"), "fingerprints")
