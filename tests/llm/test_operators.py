@@ -11,6 +11,7 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -354,6 +355,21 @@ def test_sharding_equals_sql(spark):
     assert rows(got) == rows(want) and got.grown_shard.isna().all()
 
 
+def test_written_shards_hold_every_row_in_order(spark, clashing, nothing, tmp_path):
+    path = tmp_path / "shards"
+    sharding.write_shards(clashing, str(path), 4)
+    want, got = sharding.shard(clashing, 4).collect(), []
+    for s in range(4):
+        files = sorted((path / f"shard={s}").glob("*.parquet"))
+        got += [(s, r["doc_id"], r["text"]) for f in files for r in pq.ParquetFile(f).read().to_pylist()]
+    assert bag((i, t) for _, i, t in got) == bag(CORPUS)
+    order = [(r.shard, r.doc_id, r.size) for r in sorted(want, key=lambda r: (r.shard, r.slot))]
+    assert [(s, i, len((t or "").encode()) + 1) for s, i, t in got] == order
+    assert spark.read.parquet(str(path)).columns == [c for c in clashing.columns if c != "shard"] + ["shard"]
+    sharding.write_shards(nothing, str(tmp_path / "none"), 4)
+    assert not list((tmp_path / "none").glob("shard=*"))
+
+
 def test_a_text_of_half_of_all_rows_is_cut_evenly(spark):
     corpus = [(i, "hot text") for i in range(3000)] + [(i, f"text {i}") for i in range(3000, 6000)]
     sizes = check_shards(sharding.shard(spark.createDataFrame(corpus, "doc_id long, text string")).collect(), corpus, 16)

@@ -14,12 +14,15 @@ import pyarrow as pa
 from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tidelog.llm.scratch import materialise, partitions
+from tidelog.llm.scratch import materialise, modest_batches, partitions
 
 SHARDS = 16
 #: Sampled keys for each range (their number bounds what the driver holds), and when a range is overfull.
 SAMPLES_EACH, OVERFULL, MOST_ROUNDS = 32, 4.0, 8
+#: Bytes of text for each file that is written.
+FILE_BYTES = 128 << 20
 
 
 def _ranges(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
@@ -30,7 +33,7 @@ def _ranges(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
             key = b.column(b.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(splitters, key, side="right").astype(np.int32))], names=[*b.schema.names, "range"])
 
-    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", range int")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("range", IntegerType())]))
 
 
 def _sample(rows: DataFrame, total: int, wanted: int, seed: int) -> np.ndarray:
@@ -54,25 +57,20 @@ def splitters(rows: DataFrame, total: int, ranges: int) -> np.ndarray:
     return cuts
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs, under the law `bytes`.
-
-    Size is the text's UTF-8 bytes plus 1 (a null text's: 1; its checksum is that of no bytes). A row belongs
-    to the shard in which its first byte lies when all rows, in key order, are cut into equal parts: shards
-    differ by less than the two rows at their ends. Equal texts are neighbours, so a group is cut only where
-    a shard ends. slot counts a shard's rows from 0. Equal rows take neighbouring places in any order; a
-    null id is ordered as one more id; an empty table gives no rows. Other columns are not read.
-    """
+def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, _row) of each row, _row being its place in the whole order; with carry
+    also the row itself as a struct (_whole)."""
     spark = docs.sparkSession
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("_whole")] if carry else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     number = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")
     upper = F.shiftleft(F.shiftright(number(text.cast("binary")), 1), 32)
     lower = number(F.concat(F.lit("id "), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))).cast("binary"))
-    made = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), upper.bitwiseOR(lower).alias("key")), "sizes")
+    made = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), upper.bitwiseOR(lower).alias("key"), *whole), "sizes")
     total = made.agg(F.sum("size")).first()[0] or 0
     cuts = splitters(made.select("key", "doc_id", "size"), total, max(4 * shards, 4 * partitions(spark)))
     ranged = _ranges(made, cuts)
-    sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("range").collect()  # a row for each range
+    sums = _ranges(made.select("key", "size"), cuts).groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("range").collect()  # a row for each range
     before, row = 0, 0
     places = []
     for r in sums:
@@ -82,7 +80,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     known = spark.createDataFrame(places or [(0, 0, 0)], "range int, _bytes long, _rows long")
     at = ranged.withColumn("_in", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("_nth", F.row_number().over(along) - 1).join(F.broadcast(known), "range")
     at = at.withColumn("shard", F.least(F.floor((F.col("_bytes") + F.col("_in")) * F.lit(shards) / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int")).withColumn("_row", F.col("_rows") + F.col("_nth"))
-    placed = materialise(at.select("doc_id", "size", "text_crc32", "shard", "_row"), "placed")
+    return materialise(at.select("doc_id", "size", "text_crc32", "shard", "_row", *["_whole"] * carry), "placed")
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs, under the law `bytes`.
+
+    Size is the text's UTF-8 bytes plus 1 (a null text's: 1; its checksum is that of no bytes). A row belongs
+    to the shard in which its first byte lies when all rows, in key order, are cut into equal parts: shards
+    differ by less than the two rows at their ends. Equal texts are neighbours, so a group is cut only where
+    a shard ends. slot counts a shard's rows from 0. Equal rows take neighbouring places in any order; a
+    null id is ordered as one more id; an empty table gives no rows. Other columns are not read.
+    """
+    placed = _placed(docs, shards, id_col, text_col)
     starts = placed.groupBy("shard").agg(F.min("_row").alias("_start"))  # a row for each shard
     return placed.join(F.broadcast(starts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_row") - F.col("_start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
@@ -108,6 +118,13 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes docs as Parquet under path/shard=N, each shard ordered by slot. Ids must be unique and not null."""
-    placed = shard(docs, shards, id_col, text_col).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    docs.join(placed, docs[id_col].cast("long") == F.col("_id")).drop("_id").repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Writes the rows of docs as Parquet under path/shard=N, in as many files as their bytes ask for; a shard's
+    rows are in the order of their slots within each file and from file to file by name. Every row is written
+    once, with any id, null and repeated ones too; a column of docs that is named shard gives way to the shard.
+    An empty table writes no rows.
+    """
+    modest_batches(docs.sparkSession)
+    placed = _placed(docs, shards, id_col, text_col, carry=True)
+    files = partitions(docs.sparkSession, placed.agg(F.sum("size")).first()[0] or 0, FILE_BYTES)
+    rows = placed.repartitionByRange(files, "_row").sortWithinPartitions("shard", "_row")
+    rows.select(*[F.col("_whole")[c].alias(c) for c in docs.columns if c.lower() != "shard"], "shard").write.partitionBy("shard").parquet(path)
