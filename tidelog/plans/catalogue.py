@@ -287,7 +287,8 @@ FROM owned
 
 @query(FOLD)
 def membership_fold(spark, sf_dir):
-    """The coordinator's state machine over control events: a row for each event with its outcome."""
+    """The coordinator's state machine over control events: a row for each event with its outcome. An
+    event without a member names none (empty); only beats ask to join again."""
     op = F.create_map(*[F.lit(x) for kv in (("signup", "join"), ("click", "heartbeat"), ("view", "heartbeat"), ("purchase", "commit"), ("error", "leave")) for x in kv])
     e = table(spark, sf_dir, "events")
     control = e.select((F.col("user_id") % 10).cast("string").alias("grp"), F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("conn_id"), op[F.col("event_type")].alias("op"), F.lit(None).cast("bigint").alias("generation"))
