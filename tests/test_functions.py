@@ -198,6 +198,60 @@ def test_assignment_of_more_members_than_partitions(spark):
     assert sorted((r.member, r.partition) for r in group.range_assignment(members, ["grp"], 5).collect()) == [("m1", 0), ("m1", 1), ("m10", 2), ("m10", 3), ("m2", 4)]
 
 
+def model_holdings(lives, partitions):
+    """Who holds what in each generation, from the lives alone: (generation, member) -> partitions."""
+    log = sorted([(a, 1, m) for m, a, z in lives] + [(z, 0, m) for m, a, z in lives])
+    out = {}
+    for generation, (moment, _, _) in enumerate(log, 1):
+        live = sorted(m for m, a, z in lives if a <= moment < z)
+        each, extra = divmod(partitions, len(live) or 1)
+        for i, m in enumerate(live):
+            start = i * each + min(i, extra)
+            out[generation, m] = list(range(start, start + each + (i < extra)))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["m1", "m10", "m2", "m3", "m30", "m4", "m5"]), st.integers(0, 5), st.integers(0, 5)), max_size=25), st.integers(0, 5))
+def test_holdings_fold_equals_every_generation_by_itself(steps, partitions):
+    from tidelog.operators import group
+
+    lives, ends = [], {}
+    for m, wait, length in steps:  # lives of one member come one after the other, some of them without length
+        start = ends.get(m, 0) + wait
+        lives.append((m, start, start + length))
+        ends[m] = start + length + (length == 0)
+    state, got = group.Holdings(partitions), {}
+    for moment, joined, m, counts in sorted([(a, 1, m, a < z) for m, a, z in lives] + [(z, 0, m, a < z) for m, a, z in lives]):
+        for member, first, last, held in state.happened(moment, joined, m, counts):
+            for generation in range(first, last + 1):
+                assert (generation, member) not in got
+                got[generation, member] = held
+    assert got == model_holdings(lives, partitions) and not state.begun
+
+
+def lives_of(spark, rows):
+    names = ", ".join(f"('{g}', '{m}', {a}, {z})" for g, m, a, z in rows)
+    at = lambda c: f"TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, {c})"
+    return spark.sql(f"SELECT grp, member, {at('a')} AS first_beat, {at('z')} AS dead_at FROM VALUES {names} AS t(grp, member, a, z)")
+
+
+def test_assignment_of_generations_makes_no_row_for_each_live_member(spark, monkeypatch):
+    from tidelog.operators import group
+
+    monkeypatch.setattr(group, "STEP", 7)
+    rows = [(g, f"m{i}", i % 9, 20 + i * 7 % 11) for g in "ab" for i in range(40)]
+    runs = group.holdings(lives_of(spark, rows), 4).cache()
+    assert runs.count() < 4 * len(rows)  # the live members of all generations are 3 times as many, and grow with their square
+    got = {(r.grp, r.generation, r.member): r.held for r in group.each_generation(runs).collect()}
+    want = model_holdings([r[1:] for r in rows if r[0] == "a"], 4)
+    assert got == {(g, *k): v for g in "ab" for k, v in want.items()} and len(want) > 1500
+    runs.unpersist()
+    assert group.holdings(lives_of(spark, rows).where("false"), 4).count() == 0
+    unborn = lives_of(spark, rows).selectExpr("nullif(grp, 'b') AS grp", "member", "first_beat", "CAST(NULL AS TIMESTAMP_NTZ) AS dead_at")
+    assert group.holdings(unborn, 4).count() == 0
+
+
 def test_liveness_is_strict(spark):
     from tidelog.operators import group
 

@@ -35,6 +35,12 @@ def test_query_equals_sql(spark, duck, name):
     assert canonical(got) == canonical(want)
 
 
+@pytest.mark.parametrize("name", ["assignment_by_generation"])
+def test_generations_are_not_joined_with_members(spark, name):
+    plan = catalogue.QUERIES[name](spark, BASE)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
 def test_list_topics_asks_a_store(spark, monkeypatch):
     made = []
     create = catalogue.Store.create_topic
