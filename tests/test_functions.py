@@ -239,10 +239,12 @@ def lives_of(spark, rows):
 def test_assignment_of_generations_makes_no_row_for_each_live_member(spark, monkeypatch):
     from tidelog.operators import group
 
-    monkeypatch.setattr(group, "STEP", 7)
     rows = [(g, f"m{i}", i % 9, 20 + i * 7 % 11) for g in "ab" for i in range(40)]
+    assert group.holdings(lives_of(spark, rows), 4).count() < 4 * len(rows)
+    monkeypatch.setattr(group, "STEP", 7)
+    monkeypatch.setattr(group, "AT_ONCE", 11)
     runs = group.holdings(lives_of(spark, rows), 4).cache()
-    assert runs.count() < 4 * len(rows)  # the live members of all generations are 3 times as many, and grow with their square
+    assert runs.agg(F.max(F.col("last") - F.col("first"))).first()[0] == 6
     got = {(r.grp, r.generation, r.member): r.held for r in group.each_generation(runs).collect()}
     want = model_holdings([r[1:] for r in rows if r[0] == "a"], 4)
     assert got == {(g, *k): v for g in "ab" for k, v in want.items()} and len(want) > 1500
