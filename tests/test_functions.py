@@ -254,6 +254,13 @@ def test_assignment_of_generations_makes_no_row_for_each_live_member(spark, monk
     assert group.holdings(unborn, 4).count() == 0
 
 
+def test_ownership_changes_come_from_runs(spark):
+    from tidelog.operators import group
+
+    runs = spark.createDataFrame([("g", "m", 1, 4, [0]), ("g", "m", 5, 9, [0]), ("g", "m", 10, 11, []), ("g", "m", 12, 20, [0]), ("g", "m", 21, 30, [2, 10]), ("h", "m", 3, 3, [0])], "grp string, member string, first bigint, last bigint, held array<bigint>")
+    assert sorted(map(tuple, group.ownership_changes(runs).collect())) == [("g", "m", 1, "0"), ("g", "m", 21, "2,10"), ("h", "m", 3, "0")]
+
+
 def test_liveness_is_strict(spark):
     from tidelog.operators import group
 

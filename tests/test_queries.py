@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, duck, name):
     assert canonical(got) == canonical(want)
 
 
-@pytest.mark.parametrize("name", ["assignment_by_generation", "idle_members"])
+@pytest.mark.parametrize("name", ["assignment_by_generation", "idle_members", "ownership_changes"])
 def test_generations_are_not_joined_with_members(spark, name):
     plan = catalogue.QUERIES[name](spark, BASE)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan
